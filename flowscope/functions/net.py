@@ -57,7 +57,8 @@ def ipv4_to_long(ip: Column) -> Column:
 
 def long_to_ipv4(value: Column) -> Column:
     octet = lambda shift: F.shiftright(value, shift).bitwiseAND(F.lit(255)).cast("string")
-    return F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
+    dot = F.lit(".")
+    return F.concat(octet(24), dot, octet(16), dot, octet(8), dot, octet(0))
 
 
 def network_of(value: Column, mask_len: int) -> Column:

@@ -445,7 +445,9 @@ def parse_flow_key(spark, d):
 
 @query
 def ip_convert(spark, d):
-    text = F.when(F.col("event_id") % 9 == 0, F.concat(F.col("dst_ip"), F.lit("9"))).otherwise(F.col("dst_ip"))
+    """Good addresses, five octets, and an octet above 255."""
+    kind = F.col("event_id") % 9
+    text = F.when(kind == 0, F.concat(F.col("dst_ip"), F.lit(".9"))).when(kind == 1, F.lit("172.16.0.256")).otherwise(F.col("dst_ip"))
     f = I.flows(spark, d).select("event_id", text.alias("ip")).withColumn("ip_long", net.ipv4_to_long(F.col("ip")))
     v = F.col("ip_long")
     return f.select("event_id", "ip", "ip_long", net.long_to_ipv4(v).alias("dotted"), net.cidr(v, 24).alias("cidr24"),
@@ -665,7 +667,8 @@ def scenario_compare(spark, d):
 def _stream(spark, d, name="events"):
     sinks.use_rocksdb(spark)
     schema = I.table(spark, d, name).schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet")
+    # A glob, because a table may be a single file and a plain stream path must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _event_stream(spark, d):

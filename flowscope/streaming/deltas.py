@@ -54,7 +54,7 @@ class PollDelta(StatefulProcessor):
             change = seen[total] - seen[total].shift().where(adjacent, 0).astype("int64")
             out[name] = change.where(change >= 0, seen[total])
         result = pd.DataFrame(out).iloc[1 if head is not None else 0 :]
-        result = result[(~polls["_copied"].to_numpy()) & (result["bytes"].to_numpy() > 0)]
+        result = result[(~polls["copied"].to_numpy()) & (result["bytes"].to_numpy() > 0)]
         newest = seen.iloc[-1]
         self.last.update(tuple(int(newest[c]) for c in STATE.fieldNames()))
         for at, field in enumerate(KEYS):
@@ -78,6 +78,8 @@ def counter_deltas(snapshots: DataFrame, ttl_hours: int = 24 * 7) -> DataFrame:
         "total_bytes", "total_packets",
     )
     laid = with_lookback(typed, F.col("poll_id"), POLL_SLICE, 1)
-    return laid.groupBy(*KEYS, "_slice").transformWithStateInPandas(
+    # Stateful processors receive rows through named tuples, which allow no leading underscore.
+    laid = laid.withColumnsRenamed({"_slice": "run", "_copied": "copied"})
+    return laid.groupBy(*KEYS, "run").transformWithStateInPandas(
         statefulProcessor=PollDelta(ttl_hours * 3_600_000), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime"
     )
