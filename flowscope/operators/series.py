@@ -26,7 +26,7 @@ BASELINE_TICKS, BASELINE_MIN, BASELINE_Q = 120, 10, 0.95
 
 
 def counter_deltas(snapshots: DataFrame, keys=("agent_id", "src_ip", "dst_ip", "proto", "src_port", "dst_port"),
-                   poll="poll_id") -> DataFrame:
+                   poll="poll_id", keep=()) -> DataFrame:
     """Traffic since the previous poll from cumulative counters.
 
     A key missing from poll n-1 starts from zero again, a decrease means a restart, and only keys with new bytes are
@@ -42,7 +42,7 @@ def counter_deltas(snapshots: DataFrame, keys=("agent_id", "src_ip", "dst_ip", "
         return F.when(change < 0, F.col(total)).otherwise(change).cast("bigint")
 
     out = laid.select(
-        *keys, poll, "_copied", delta("total_bytes").alias("bytes"), delta("total_packets").alias("packets")
+        *keys, poll, *keep, "_copied", delta("total_bytes").alias("bytes"), delta("total_packets").alias("packets")
     )
     return out.where(~F.col("_copied") & (F.col("bytes") > 0)).drop("_copied")
 

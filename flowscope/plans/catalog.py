@@ -757,8 +757,7 @@ def stream_dedup(spark, d):
 def stream_deltas(spark, d):
     folder, source = shared_folder(spark, "deltas"), shared_folder(spark, "snapshots")
     table = I.snapshots(spark, d)
-    table.write.parquet(source)
-    sinks.use_rocksdb(spark)
+    table.repartitionByRange("poll_id").write.parquet(source)
     stream = spark.readStream.schema(table.schema).parquet(source)
-    sinks.run_available(stream_deltas_op.counter_deltas(stream), folder, "append")
+    sinks.run_available(stream, folder, "append", stream_deltas_op.delta_batch(spark, folder))
     return sinks.read_all(spark, folder)

@@ -1,85 +1,32 @@
-"""Counter deltas from a stream of snapshots, with the previous poll kept as keyed state."""
+"""Counter deltas from a stream of snapshots.
 
-from __future__ import annotations
+The state is what the next poll needs and nothing else: the rows of each agent's newest poll.  Every micro-batch reads
+the previous epoch's state table, runs the batch operator over state and new rows together, and writes the next state
+under its own epoch, so a retried epoch overwrites itself.  Keys never become Python groups or single state entries.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from flowscope.operators.series import POLL_SLICE
-from flowscope.operators.sliced import with_lookback
-
-KEYS = ("agent_id", "src_ip", "dst_ip", "proto", "src_port", "dst_port")
-STATE = T.StructType([
-    T.StructField("poll_id", T.LongType()),
-    T.StructField("total_bytes", T.LongType()),
-    T.StructField("total_packets", T.LongType()),
-])
-OUTPUT = T.StructType([
-    T.StructField("agent_id", T.StringType()),
-    T.StructField("src_ip", T.StringType()),
-    T.StructField("dst_ip", T.StringType()),
-    T.StructField("proto", T.StringType()),
-    T.StructField("src_port", T.IntegerType()),
-    T.StructField("dst_port", T.IntegerType()),
-    T.StructField("poll_id", T.LongType()),
-    T.StructField("bytes", T.LongType()),
-    T.StructField("packets", T.LongType()),
-])
-
-
-class PollDelta(StatefulProcessor):
-    """Keeps (poll, bytes, packets) of the last poll of one key and run of polls."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+from flowscope.operators.series import counter_deltas
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", STATE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One key and run holds at most POLL_SLICE + 1 polls, so this is bounded.
-        polls = pd.concat(list(rows)).sort_values("poll_id", kind="stable")
-        before = self.last.get() if self.last.exists() else None
-        head = pd.DataFrame([before], columns=list(STATE.fieldNames())) if before else None
-        seen = polls[STATE.fieldNames()]
-        seen = pd.concat([head, seen], ignore_index=True) if head is not None else seen.reset_index(drop=True)
-        adjacent = seen["poll_id"].diff().eq(1)
-        out = {"poll_id": seen["poll_id"]}
-        for total, name in (("total_bytes", "bytes"), ("total_packets", "packets")):
-            change = seen[total] - seen[total].shift().where(adjacent, 0).astype("int64")
-            out[name] = change.where(change >= 0, seen[total])
-        result = pd.DataFrame(out).iloc[1 if head is not None else 0 :]
-        result = result[(~polls["copied"].to_numpy()) & (result["bytes"].to_numpy() > 0)]
-        newest = seen.iloc[-1]
-        self.last.update(tuple(int(newest[c]) for c in STATE.fieldNames()))
-        for at, field in enumerate(KEYS):
-            result.insert(at, field, key[at])
-        if len(result):
-            yield result
+def newest_polls(rows: DataFrame, agent: str = "agent_id", poll: str = "poll_id") -> DataFrame:
+    newest = rows.groupBy(agent).agg(F.max(poll).alias(poll))
+    return rows.join(newest, [agent, poll], "left_semi")
 
-    def close(self) -> None:
-        pass
 
+def delta_batch(spark: SparkSession, folder: str):
+    """Micro-batch function for ``sinks.start``; ``folder`` is the query's own shared folder."""
 
-def counter_deltas(snapshots: DataFrame, ttl_hours: int = 24 * 7) -> DataFrame:
-    """Streaming counterpart of the batch delta; needs the RocksDB state store.
+    def apply(batch: DataFrame, epoch: int) -> DataFrame:
+        rows = batch.withColumn("fresh", F.lit(True))
+        if epoch > 0:
+            state = spark.read.schema(batch.schema).parquet(f"{folder}/state/epoch={epoch - 1}")
+            rows = rows.unionByName(state.withColumn("fresh", F.lit(False)))
+        newest_polls(rows.drop("fresh")).write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+        return counter_deltas(rows, keep=("fresh",)).where("fresh").drop("fresh")
 
-    The grouping key holds the run of polls beside the flow, with the last poll of a run copied into the next, so one
-    group never holds more than a run and the state of finished runs expires.
-    """
-    typed = snapshots.select(
-        "agent_id", "src_ip", "dst_ip", "proto", F.col("src_port").cast("int").alias("src_port"),
-        F.col("dst_port").cast("int").alias("dst_port"), F.col("poll_id").cast("bigint").alias("poll_id"),
-        "total_bytes", "total_packets",
-    )
-    laid = with_lookback(typed, F.col("poll_id"), POLL_SLICE, 1)
-    # Stateful processors receive rows through named tuples, which allow no leading underscore.
-    laid = laid.withColumnsRenamed({"_slice": "run", "_copied": "copied"})
-    return laid.groupBy(*KEYS, "run").transformWithStateInPandas(
-        statefulProcessor=PollDelta(ttl_hours * 3_600_000), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime"
-    )
+    return apply

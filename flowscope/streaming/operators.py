@@ -97,7 +97,7 @@ def policy_batch(spark: SparkSession, rules_path: str, max_ttl: int = MAX_TTL):
     traffic is matched by the same sliced equality join as in batch, so a hot source is not one state key.
     """
 
-    def apply(batch: DataFrame) -> DataFrame:
+    def apply(batch: DataFrame, epoch: int) -> DataFrame:
         span = batch.agg(F.struct(F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi"))).scalar()
         rules = spark.read.parquet(rules_path).withColumn("_span", span)
         live = rules.where(

@@ -21,15 +21,15 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER_KEY, ROCKSDB)
 
 
-def start(stream: DataFrame, folder: str, mode: str = "update", transform: Callable[[DataFrame], DataFrame] | None = None,
-          every: str | None = None):
-    """Start a query that writes each epoch's rows under ``folder``.
+def start(stream: DataFrame, folder: str, mode: str = "update",
+          transform: Callable[[DataFrame, int], DataFrame] | None = None, every: str | None = None):
+    """Start a query that writes each epoch's rows under ``folder``; ``transform`` gets the batch and its epoch.
 
     Without ``every`` it processes what is available and stops; with it, it keeps triggering at that interval.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = transform(batch) if transform else batch
+        rows = transform(batch, epoch) if transform else batch
         rows.write.mode("overwrite").parquet(f"{folder}/data/epoch={epoch}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
