@@ -24,20 +24,35 @@ def ipv4_text(frame: Column, at: int) -> Column:
     return F.concat_ws(".", *[uint(frame, at + i, 1).cast("string") for i in range(4)])
 
 
-def ipv6_text(frame: Column, at: int) -> Column:
-    """Canonical IPv6 text: lower-case groups, first longest run of two or more zero groups as ``::``."""
-    digits = F.lower(F.hex(F.substring(frame, F.lit(at), F.lit(16))))
+def ipv6_digits(frame: Column, at: int) -> Column:
+    """The 32 lower-case hex digits of an IPv6 address."""
+    return F.lower(F.hex(F.substring(frame, F.lit(at), F.lit(16))))
+
+
+def ipv6_text(digits: Column) -> Column:
+    """Canonical IPv6 text: lower-case groups, first longest run of two or more zero groups as ``::``.
+
+    The run is found on a mask of zero groups (one character each), so the address text is assembled once.
+    """
     groups = [F.substring(digits, 4 * i + 1, 4) for i in range(8)]
-    full = F.concat_ws(":", *[F.regexp_replace(g, "^0{1,3}", "") for g in groups])
-    shortened = full
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)"
-        shortened = F.when(full.rlike(pattern), F.regexp_replace(full, pattern, "$1::")).otherwise(shortened)
-    tail = ipv4_text(frame, at + 12)
+    short = F.transform(F.array(*groups), lambda g: F.regexp_replace(g, "^0{1,3}", ""))
+    mask = F.array_join(F.transform(short, lambda g: F.when(g == "0", "z").otherwise("x")), "")
+    run = F.coalesce(*[F.when(mask.contains("z" * n), F.struct(F.lit(n).alias("n"), F.instr(mask, "z" * n).alias("at")))
+                       for n in range(8, 1, -1)])
+    tail = F.concat_ws(".", *[F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)])
+    compressed = F.transform(
+        F.array(F.struct(short.alias("g"), run.alias("r"))),
+        lambda x: F.when(x["r"].isNull(), F.array_join(x["g"], ":")).otherwise(
+            F.concat(
+                F.array_join(F.slice(x["g"], 1, x["r"]["at"] - 1), ":"), F.lit("::"),
+                F.array_join(F.slice(x["g"], x["r"]["at"] + x["r"]["n"], 8), ":"),
+            )
+        ),
+    )
     return (
         F.when(digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("::ffff:"), tail))
         .when(digits.startswith("0" * 24) & (groups[6] != "0000"), F.concat(F.lit("::"), tail))
-        .otherwise(shortened)
+        .otherwise(F.get(compressed, F.lit(0)))
     )
 
 

@@ -68,17 +68,17 @@ def _swap_bytes(hex_text: Column, n_bytes: int) -> Column:
     return F.concat(*[F.substring(hex_text, 2 * i + 1, 2) for i in reversed(range(n_bytes))])
 
 
-def cms_column(key: Column, row: int, spec: CmsSpec) -> Column:
-    """Cell of ``key`` in sketch row ``row``.
+def cms_column(key: Column, row: int | Column, spec: CmsSpec) -> Column:
+    """Cell of ``key`` in sketch row ``row`` (a number or an integer column).
 
     Family A: md5 of the key followed by the row number, as a 128-bit big-endian number modulo the width.
     Family B: md5 of the key followed by row*101, first four bytes little-endian modulo the width.
     """
     width = F.lit(spec.width).cast("bigint")
+    seed = row * (101 if spec.family == "B" else 1)
+    digest = F.md5(F.concat(key, seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))))
     if spec.family == "B":
-        digest = F.md5(F.concat(key, F.lit(str(row * 101))))
         return (_unsigned(_swap_bytes(digest, 4)) % width).cast("int")
-    digest = F.md5(F.concat(key, F.lit(str(row))))
     if spec.width & (spec.width - 1) == 0:
         return (_unsigned(F.substring(digest, 25, 8)) % width).cast("int")
     rest = F.lit(0).cast("bigint")
@@ -87,26 +87,33 @@ def cms_column(key: Column, row: int, spec: CmsSpec) -> Column:
     return rest.cast("int")
 
 
-def hll_position(value: Column, spec: HllSpec) -> Column:
-    """Struct ``(register, rho)`` of a string value.
+def hll_word(value: Column, spec: HllSpec) -> Column:
+    """The 64-bit hash of a string value, as a signed BIGINT.
 
-    Family A: top 64 bits of sha256, rho = leading zeros of the rest + 1.
-    Family B: first 8 bytes of sha1 little-endian, rho = position of the lowest set bit of the rest, 64 when none.
+    Family A: top 64 bits of sha256.  Family B: first 8 bytes of sha1, little-endian.
     """
-    p = spec.precision
     if spec.family == "A":
-        word = _signed64(F.substring(F.sha2(value, 256), 1, 16))
-    else:
-        word = _signed64(_swap_bytes(F.sha1(value), 8))
+        return _signed64(F.substring(F.sha2(value, 256), 1, 16))
+    return _signed64(_swap_bytes(F.sha1(value), 8))
+
+
+def hll_register(word: Column, spec: HllSpec) -> Column:
+    """Register of a hash: its low ``p`` bits."""
+    return word.bitwiseAND(F.lit(spec.registers - 1).cast("bigint")).cast("int")
+
+
+def hll_rho(word: Column, spec: HllSpec) -> Column:
+    """Rank of the remaining bits.
+
+    Family A: leading zeros + 1.  Family B: position of the lowest set bit, 64 when none is set.
+    """
+    p = spec.precision
     rest = F.shiftrightunsigned(word, p)
     if spec.family == "A":
         rho = F.when(rest == 0, F.lit(64 - p + 1)).otherwise(F.lit(64 - p + 1) - F.length(F.bin(rest)))
     else:
         rho = F.when(rest == 0, F.lit(64)).otherwise(F.length(F.bin(rest.bitwiseAND(-rest))))
-    return F.struct(
-        word.bitwiseAND(F.lit(spec.registers - 1).cast("bigint")).cast("int").alias("register"),
-        rho.cast("int").alias("rho"),
-    )
+    return rho.cast("int")
 
 
 def hll_alpha(spec: HllSpec) -> float:

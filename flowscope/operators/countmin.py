@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowscope.functions.hashing import CmsSpec, check_cms, cms_column
 from flowscope.functions.net import flow_key
 
-# A sketch side is broadcast only up to this many cells (about 24 bytes each); beyond it joins are left to shuffles.
+# Largest sketch answered from one array (8 bytes per cell); beyond it point queries join on the cells.
 BROADCAST_CELLS = 1 << 20
 METRICS = ("bytes", "packets", "flows")
 
@@ -22,12 +22,15 @@ class CountMin(NamedTuple):
     cells: DataFrame
 
 
-def _positions(key, spec: CmsSpec):
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("row_i"), cms_column(key, i, spec).alias("col_j"))
-            for i in range(spec.depth)
-        ]
+def _placed(keyed: DataFrame, key: str, spec: CmsSpec) -> DataFrame:
+    """One row per input row and sketch row, with the cell's column number in place of the key.
+
+    Row numbers are exploded first, so the key is built once and each digest is one call in a plain projection.
+    """
+    others = [c for c in keyed.columns if c != key]
+    rows = F.explode(F.array(*[F.lit(i) for i in range(spec.depth)])).alias("row_i")
+    return keyed.select(*others, key, rows).select(
+        *others, "row_i", cms_column(F.col(key), F.col("row_i"), spec).alias("col_j")
     )
 
 
@@ -40,7 +43,8 @@ def cms_build(df: DataFrame, key, value, spec: CmsSpec = CmsSpec(), by=()) -> Co
     check_cms(spec)
     key = F.col(key) if isinstance(key, str) else key
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*by, value.cast("bigint").alias("_v"), F.inline(_positions(key, spec)))
+    keyed = df.select(*by, value.cast("bigint").alias("_v"), key.alias("_k"))
+    rows = _placed(keyed, "_k", spec)
     return CountMin(spec, rows.groupBy(*by, "row_i", "col_j").agg(F.sum("_v").cast("bigint").alias("cnt")))
 
 
@@ -60,7 +64,7 @@ def cms_build_metrics(flows: DataFrame, spec: CmsSpec = CmsSpec()) -> CountMin:
         keyed(F.concat(F.lit("src:"), F.col("src_ip")), zero, zero),
         keyed(F.concat(F.lit("dst:"), F.col("dst_ip")), zero, zero),
     )
-    rows = flows.select(F.inline(entries)).select("b", "p", "n", F.inline(_positions(F.col("k"), spec)))
+    rows = _placed(flows.select(F.inline(entries)), "k", spec)
     wide = rows.groupBy("row_i", "col_j").agg(
         F.sum("b").cast("bigint").alias("bytes"),
         F.sum("p").cast("bigint").alias("packets"),
@@ -95,31 +99,36 @@ def cms_mass(sketch: CountMin) -> DataFrame:
     )
 
 
+def _dense(sketch: CountMin) -> DataFrame:
+    """All cells as one array in row-major order; only used while depth x width is small."""
+    spec = sketch.spec
+    at = (F.col("row_i") * spec.width + F.col("col_j")).cast("bigint").alias("id")
+    filled = sketch.cells.sparkSession.range(spec.width * spec.depth).join(sketch.cells.select(at, "cnt"), "id", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("cnt", F.lit(0)).alias("cnt"))))
+    return filled.agg(F.transform(ordered, lambda x: x["cnt"]).alias("cells"))
+
+
 def cms_estimate(sketch: CountMin, candidates: DataFrame, key_col: str = "key") -> DataFrame:
     """Point query: the smallest of the key's cells, a missing cell counting as 0.  Adds ``estimate``.
 
-    The sketch is turned into one row per column number holding all sketch rows, and looked up once per sketch row.
-    That table has at most ``width`` rows; while depth x width is small it is broadcast (one exchange, reused), so
-    candidates of any number are answered in place without a shuffle.
+    A sketch of at most ``BROADCAST_CELLS`` cells (its size is fixed by its shape, not by the data) becomes one array,
+    computed once as a scalar subquery, and candidates of any number are answered in place: no join and no shuffle.
+    A larger sketch is joined by (row, column) and the smallest cell taken per key.
     """
     spec = check_cms(sketch.spec)
-    wide = sketch.cells.groupBy("col_j").agg(
-        *[
-            F.sum(F.when(F.col("row_i") == i, F.col("cnt"))).cast("bigint").alias(f"_r{i}")
+    if spec.width * spec.depth <= BROADCAST_CELLS:
+        cells = _dense(sketch).scalar()
+        reads = [
+            F.element_at(cells, F.lit(i * spec.width + 1) + cms_column(F.col(key_col), i, spec))
             for i in range(spec.depth)
         ]
-    )
-    if spec.width * spec.depth <= BROADCAST_CELLS:
-        wide = F.broadcast(wide)
-    out = candidates
-    cells = []
-    for i in range(spec.depth):
-        side = wide.select(F.col("col_j").alias(f"_j{i}"), *[F.col(f"_r{r}").alias(f"_c{i}_{r}") for r in range(spec.depth)])
-        out = out.withColumn(f"_p{i}", cms_column(F.col(key_col), i, spec))
-        out = out.join(side, F.col(f"_p{i}") == F.col(f"_j{i}"), "left")
-        cells.append(F.coalesce(F.col(f"_c{i}_{i}"), F.lit(0).cast("bigint")))
-    smallest = F.least(*cells) if len(cells) > 1 else cells[0]
-    return out.select(*candidates.columns, smallest.alias("estimate"))
+        smallest = F.least(*reads) if len(reads) > 1 else reads[0]
+        return candidates.select(*candidates.columns, smallest.alias("estimate"))
+    keyed = candidates.select(F.col(key_col).alias("_k")).distinct()
+    placed = _placed(keyed.withColumn("_key", F.col("_k")), "_k", spec)
+    looked = placed.join(sketch.cells, ["row_i", "col_j"], "left")
+    least = looked.groupBy("_key").agg(F.min(F.coalesce("cnt", F.lit(0))).cast("bigint").alias("estimate"))
+    return candidates.join(least, F.col(key_col) == F.col("_key")).select(*candidates.columns, "estimate")
 
 
 def flow_truth(flows: DataFrame) -> DataFrame:

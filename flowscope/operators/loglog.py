@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowscope.functions.hashing import CmsSpec, HllSpec, check_hll, hll_estimate_expr, hll_position
+from flowscope.functions.hashing import CmsSpec, HllSpec, check_hll, hll_estimate_expr, hll_register, hll_rho, hll_word
 from flowscope.functions.net import flow_key
 
 KEYED = HllSpec(12, "A")
@@ -30,8 +30,10 @@ def hll_build(df: DataFrame, value, spec: HllSpec = HllSpec(), by=()) -> Registe
     """
     check_hll(spec)
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*by, hll_position(value.cast("string"), spec).alias("_h"))
-    table = rows.groupBy(*by, F.col("_h.register").alias("register")).agg(F.max("_h.rho").alias("rho"))
+    # Projected on its own: the hash feeds several expressions and must be computed once per row.
+    words = df.select(*by, hll_word(value.cast("string"), spec).alias("_word"))
+    rows = words.select(*by, hll_register(F.col("_word"), spec).alias("register"), hll_rho(F.col("_word"), spec).alias("_rho"))
+    table = rows.groupBy(*by, "register").agg(F.max("_rho").alias("rho"))
     return Registers(spec, table, tuple(by))
 
 

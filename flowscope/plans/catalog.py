@@ -164,7 +164,7 @@ def spray_index(spark, d):
 
 
 def _cms(spark, d, spec=CmsSpec()):
-    return cm.cms_build(I.flows(spark, d), net.flow_key(), "bytes", spec)
+    return cm.cms_build(I.spread_flows(spark, d), net.flow_key(), "bytes", spec)
 
 
 @query
@@ -179,34 +179,34 @@ def cms_build_odd_width(spark, d):
 
 @query
 def cms_build_volume(spark, d):
-    return cm.cms_build(I.volume_flows(spark, d), net.flow_key(), "bytes").cells
+    return cm.cms_build(I.volume_flows(spark, d, wide=True), net.flow_key(), "bytes").cells
 
 
 @query
 def cms_build_metrics(spark, d):
-    return cm.cms_build_metrics(I.flows(spark, d)).cells
+    return cm.cms_build_metrics(I.spread_flows(spark, d)).cells
 
 
 @query
 def cms_build_b(spark, d):
-    return cm.cms_build(I.flows(spark, d), net.flow_id(), "bytes", B_SPEC).cells
+    return cm.cms_build(I.spread_flows(spark, d), net.flow_id(), "bytes", B_SPEC).cells
 
 
 @query
 def cms_estimate(spark, d):
-    return cm.cms_estimate(_cms(spark, d), cm.flow_truth(I.flows(spark, d)), "flow")
+    return cm.cms_estimate(_cms(spark, d), cm.flow_truth(I.spread_flows(spark, d)), "flow")
 
 
 @query
 def cms_merge(spark, d):
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     part = lambda cond: cm.cms_build(f.where(cond), net.flow_key(), "bytes")
     return cm.cms_merge(part("user_id % 2 = 0"), part("user_id % 2 = 1")).cells
 
 
 @query
 def cms_heavy_hitters(spark, d):
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     sketch = cm.cms_build_metrics(f)
     tops = [
         cm.cms_heavy_hitters(f, sketch, 10, m).select(F.lit(m).alias("metric"), "flow", "estimate") for m in cm.METRICS
@@ -216,13 +216,13 @@ def cms_heavy_hitters(spark, d):
 
 @query
 def cms_heavy_hitters_b(spark, d):
-    f = I.with_ids(I.flows(spark, d))
+    f = I.with_ids(I.spread_flows(spark, d))
     return cm.cms_heavy_hitters_b(f, cm.cms_build(f, "flow_id", "bytes", B_SPEC))
 
 
 @query
 def ip_statistics(spark, d):
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     sketch = cm.cms_build_metrics(f)
     return cm.ip_statistics(f, sketch, "src").unionByName(cm.ip_statistics(f, sketch, "dst"))
 
@@ -232,65 +232,65 @@ def ip_statistics(spark, d):
 
 @query
 def hll_registers(spark, d):
-    return ll.hll_build(I.flows(spark, d), net.flow_key()).table
+    return ll.hll_build(I.spread_flows(spark, d), net.flow_key()).table
 
 
 @query
 def hll_count(spark, d):
-    return ll.hll_count(ll.hll_build(I.flows(spark, d), net.flow_key()))
+    return ll.hll_count(ll.hll_build(I.spread_flows(spark, d), net.flow_key()))
 
 
 @query
 def hll_count_volume(spark, d):
-    return ll.hll_count(ll.hll_build(I.volume_flows(spark, d), net.flow_key()))
+    return ll.hll_count(ll.hll_build(I.volume_flows(spark, d, wide=True), net.flow_key()))
 
 
 @query
 def hll_count_b(spark, d):
-    return ll.hll_count(ll.hll_build(I.flows(spark, d), net.flow_id(), HllSpec(12, "B")))
+    return ll.hll_count(ll.hll_build(I.spread_flows(spark, d), net.flow_id(), HllSpec(12, "B")))
 
 
 @query
 def hll_merge(spark, d):
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     part = lambda cond: ll.hll_build(f.where(cond), net.flow_key())
     return ll.hll_count(ll.hll_merge(part("user_id % 3 = 0"), part("user_id % 3 <> 0")))
 
 
 @query
 def cardinalities(spark, d):
-    return ll.cardinalities(ll.dimension_registers(I.flows(spark, d)))
+    return ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d)))
 
 
 @query
 def diversity_score(spark, d):
-    return ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.flows(spark, d))))
+    return ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d))))
 
 
 @query
 def cardinality_unpivot(spark, d):
-    return ll.cardinality_rows(ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.flows(spark, d)))))
+    return ll.cardinality_rows(ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d)))))
 
 
 @query
 def batch_diversity(spark, d):
-    return ll.batch_diversity(I.with_ids(I.flows(spark, d)))
+    return ll.batch_diversity(I.with_ids(I.spread_flows(spark, d)))
 
 
 @query
 def approx_unique_flows(spark, d):
-    return ll.approx_unique_flows(I.flows(spark, d))
+    return ll.approx_unique_flows(I.spread_flows(spark, d))
 
 
 @query
 def sketch_memory(spark, d):
-    return ll.sketch_memory(I.flows(spark, d))
+    return ll.sketch_memory(I.spread_flows(spark, d))
 
 
 @query
 def sketch_roundtrip(spark, d):
     """Both sketch kinds written, read back and queried."""
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     path = shared_folder(spark, "sketches")
     cm.save_cms(_cms(spark, d), path, "bytes")
     ll.save_registers(ll.hll_build(f, net.flow_key()), path, "flows")
@@ -312,7 +312,7 @@ def port_scanners(spark, d):
 
 @query
 def port_scanners_hll(spark, d):
-    return detect.port_scanners_hll(I.flows(spark, d), 20)
+    return detect.port_scanners_hll(I.spread_flows(spark, d), 20)
 
 
 @query
@@ -327,7 +327,7 @@ def popular_services(spark, d):
 
 @query
 def popular_services_hll(spark, d):
-    return detect.popular_services_hll(I.flows(spark, d))
+    return detect.popular_services_hll(I.spread_flows(spark, d))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------
@@ -347,9 +347,16 @@ def dedup_batches(spark, d):
     return flow_batches.dedup_batches(rows).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
 
 
+def _stored(spark, df, name):
+    """The input as the operator meets it in practice: a stored table rather than an expression to be recomputed."""
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query
 def src_counter_snapshots(spark, d):
-    return snapshots.decode_counter_dumps(I.counter_dumps(spark, d))
+    return snapshots.decode_counter_dumps(_stored(spark, I.counter_dumps(spark, d), "dumps"))
 
 
 @query
@@ -362,17 +369,17 @@ def src_telemetry(spark, d):
 
 @query
 def decode_frames(spark, d):
-    return frame_source.decode_frames(I.frames(spark, d))
+    return frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames"))
 
 
 @query
 def decode_frames_v6(spark, d):
-    return frame_source.decode_frames(I.frames(spark, d), "v4v6_tcpudp")
+    return frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames"), "v4v6_tcpudp")
 
 
 @query
 def packet_rollup(spark, d):
-    return rollup.packet_rollup(frame_source.decode_frames(I.frames(spark, d)))
+    return rollup.packet_rollup(frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames")))
 
 
 def _peer_docs(spark, d):
@@ -419,7 +426,7 @@ def ddos_victims(spark, d):
 
 @query
 def anonymize_ips(spark, d):
-    f = I.flows(spark, d)
+    f = I.spread_flows(spark, d)
     hide = lambda c: net.anonymize_ip(F.col(c), HMAC_KEY).alias(c)
     return f.select("event_id", hide("src_ip"), hide("dst_ip"), "bytes")
 
@@ -631,7 +638,7 @@ def active_rules(spark, d):
 
 @query
 def summary_document(spark, d):
-    return report.summary_document(I.flows(spark, d), I.ASOF, private=False)
+    return report.summary_document(I.spread_flows(spark, d), I.ASOF, private=False)
 
 
 @query

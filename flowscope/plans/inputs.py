@@ -79,6 +79,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer tasks than the session has cores, before hash-heavy work.
+
+    Only small or coarsely written tables are affected: at scale a scan has far more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_flows(events: DataFrame) -> DataFrame:
     return events.selectExpr(*columns(EVENT_FLOWS, SPARK_DIALECT))
 
@@ -87,8 +96,14 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_flows(table(spark, sf_dir, "events"))
 
 
-def volume_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*columns(LINEITEM_FLOWS, SPARK_DIALECT))
+def spread_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows for hash-heavy queries."""
+    return event_flows(spread(table(spark, sf_dir, "events")))
+
+
+def volume_flows(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return (spread(lines) if wide else lines).selectExpr(*columns(LINEITEM_FLOWS, SPARK_DIALECT))
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -146,7 +161,7 @@ def counter_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A short key is added to every seventh entry and the value of every eleventh is cut (by total bytes).
     """
-    s = snapshots(spark, sf_dir)
+    s = snapshots(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     proto = F.when(F.col("proto") == "UDP", F.lit(17)).otherwise(F.lit(6))
     key = F.concat(
         _ip_hex(F.col("src_ip")), _ip_hex(F.col("dst_ip")), _le_hex(F.col("src_port"), 2), _le_hex(F.col("dst_port"), 2),
@@ -165,7 +180,7 @@ def flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every twentieth document (event_id % 20 = 3) is cut short, every tenth (% 10 = 7) has no flows, and every
     fiftieth (% 50 = 1) is exported twice.
     """
-    f = flows(spark, sf_dir)
+    f = spread_flows(spark, sf_dir)
     us = F.unix_seconds(F.col("ts").cast("timestamp"))
     record = F.struct(
         "src_ip", "dst_ip", "src_port", "dst_port", F.col("proto").alias("protocol"),
@@ -262,7 +277,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     By event_id % 12: 0 a 24-byte IP header, 1 a cut transport header, 2 ICMP, 3 IPv6, 4 ARP, 5 a header length
     below 20 (inadmissible), otherwise plain TCP or UDP.
     """
-    f = flows(spark, sf_dir)
+    f = spread_flows(spark, sf_dir)
     kind = F.col("event_id") % 12
     ports = F.concat(_be_hex(F.col("src_port"), 2), _be_hex(F.col("dst_port"), 2))
     number = F.when(kind == 2, F.lit(1)).when(F.col("proto") == "UDP", F.lit(17)).otherwise(F.lit(6))

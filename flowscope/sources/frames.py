@@ -35,8 +35,10 @@ def decode_frames(frames: DataFrame, mode: str = "v4_any", frame_col: str = "fra
         ihl = fr.uint(frame, fr.IP_AT, 1).bitwiseAND(F.lit(15).cast("bigint")) * 4
         number = F.when(F.col("_v4"), fr.uint(frame, 24, 1)).otherwise(fr.uint(frame, 21, 1))
         l4_at = F.lit(fr.IP_AT) + F.when(F.col("_v4"), ihl).otherwise(F.lit(40))
-        src = F.when(F.col("_v4"), fr.ipv4_text(frame, 27)).otherwise(fr.ipv6_text(frame, 23))
-        dst = F.when(F.col("_v4"), fr.ipv4_text(frame, 31)).otherwise(fr.ipv6_text(frame, 39))
+        header = header.withColumn("_src6", F.when(~F.col("_v4"), fr.ipv6_digits(frame, 23)))
+        header = header.withColumn("_dst6", F.when(~F.col("_v4"), fr.ipv6_digits(frame, 39)))
+        src = F.when(F.col("_v4"), fr.ipv4_text(frame, 27)).otherwise(fr.ipv6_text(F.col("_src6")))
+        dst = F.when(F.col("_v4"), fr.ipv4_text(frame, 31)).otherwise(fr.ipv6_text(F.col("_dst6")))
     header = header.withColumn("_proto", number.cast("int")).withColumn("_l4", l4_at.cast("int"))
     header = header.where(F.col("_l4") >= fr.IP_AT + 20)
     if mode == "v4v6_tcpudp":
