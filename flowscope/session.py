@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_base: str | None = None
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -23,10 +24,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``.  Only a local-mode session without the setting
     falls back to a temporary folder; on a cluster a node-local path would be lost with its executor.
     """
+    global _local_base
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all nodes")
-        base = tempfile.mkdtemp(prefix="flowscope-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        _local_base = _local_base or tempfile.mkdtemp(prefix="flowscope-")
+        base = _local_base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
