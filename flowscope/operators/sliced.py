@@ -43,77 +43,78 @@ def with_lookback(df: DataFrame, position: Column, width: int, lookback: int) ->
     ).drop("_own")
 
 
-def _carried(df: DataFrame, keys, summary: Column, chained) -> DataFrame:
-    """Per (key, slice) summary, chained over the slices of a key by ``chained(column, window)``, joined back."""
-    keys = list(keys)
-    per_slice = df.groupBy(*keys, "_slice").agg(summary.alias("_sum"))
+def _carried(df: DataFrame, keys, summary: dict[str, Column], chained) -> DataFrame:
+    """Adds ``_carry_<name>``: per (key, slice) summaries chained over the slices of a key by ``chained(column, window)``.
+
+    The join back is null-safe: no not-null filter is inferred for one side only, so both sides keep sharing the
+    exchanges below them, and rows with NULL keys stay.
+    """
+    at = [*keys, "_slice"]
+    per_slice = df.groupBy(*at).agg(*[c.alias(f"_carry_{n}") for n, c in summary.items()])
+    w = W.partitionBy(*keys).orderBy("_slice")
     before = per_slice.select(
-        *keys, "_slice", chained(F.col("_sum"), W.partitionBy(*keys).orderBy("_slice")).alias("_carry")
+        *[F.col(k).alias(f"_at_{k}") for k in at],
+        *[chained(F.col(f"_carry_{n}"), w).alias(f"_carry_{n}") for n in summary],
     )
-    return df.join(before, [*keys, "_slice"])
+    same = F.lit(True)
+    for k in at:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    return df.join(before, same, "left").drop(*[f"_at_{k}" for k in at])
+
+
+def _position(ts: str, order) -> Column:
+    """Ordering key of an aggregate: plain microseconds keep it in hash aggregation, a struct only when ties matter."""
+    return F.struct(ts, *order) if order else micros(ts)
 
 
 def sliced_lag(df: DataFrame, keys, ts: str, cols, order=(), seconds: int = HOUR) -> DataFrame:
     """Adds ``prev_<col>``: the value on the preceding row of the key by (ts, order)."""
-    cols = list(cols)
-    order = [ts, *order]
     sliced = df.withColumn("_slice", time_slice(ts, seconds))
-    last = F.max_by(F.struct(*cols), F.struct(*order))
-    joined = _carried(sliced, keys, last, lambda c, w: F.lag(c).over(w))
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    newest = {c: F.max_by(c, _position(ts, order)) for c in cols}
+    joined = _carried(sliced, keys, newest, lambda c, w: F.lag(c).over(w))
+    inside = W.partitionBy(*keys, "_slice").orderBy(ts, *order)
     first = F.row_number().over(inside) == 1
-    prev = [
-        F.when(first, F.col(f"_carry.{c}")).otherwise(F.lag(c).over(inside)).alias(f"prev_{c}") for c in cols
-    ]
+    prev = [F.when(first, F.col(f"_carry_{c}")).otherwise(F.lag(c).over(inside)).alias(f"prev_{c}") for c in cols]
     return joined.select(*df.columns, *prev)
 
 
 def sliced_running_sum(df: DataFrame, keys, ts: str, col: str, name: str, order=(), seconds: int = HOUR) -> DataFrame:
     """Adds the running total of ``col`` within the key, by (ts, order)."""
-    order = [ts, *order]
     sliced = df.withColumn("_slice", time_slice(ts, seconds))
     joined = _carried(
-        sliced, keys, F.sum(col), lambda c, w: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1))
+        sliced, keys, {"sum": F.sum(col)}, lambda c, w: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1))
     )
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = F.coalesce(F.col("_carry"), F.lit(0)) + F.sum(col).over(inside)
+    inside = W.partitionBy(*keys, "_slice").orderBy(ts, *order).rowsBetween(W.unboundedPreceding, 0)
+    total = F.coalesce(F.col("_carry_sum"), F.lit(0)) + F.sum(col).over(inside)
     return joined.select(*df.columns, total.alias(name))
 
 
 def sliced_rank(df: DataFrame, keys, ts: str, order=(), seconds: int = HOUR, name: str = "rank") -> DataFrame:
     """Adds the 1-based row number of each row within its key, by (ts, order)."""
-    order = [ts, *order]
     sliced = df.withColumn("_slice", time_slice(ts, seconds))
     joined = _carried(
-        sliced, keys, F.count(F.lit(1)),
-        lambda c, w: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)),
+        sliced, keys, {"n": F.count(F.lit(1))}, lambda c, w: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1))
     )
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
-    rank = F.coalesce(F.col("_carry"), F.lit(0)) + F.row_number().over(inside)
+    inside = W.partitionBy(*keys, "_slice").orderBy(ts, *order)
+    rank = F.coalesce(F.col("_carry_n"), F.lit(0)) + F.row_number().over(inside)
     return joined.select(*df.columns, rank.cast("bigint").alias(name))
 
 
 def sliced_last_value(df: DataFrame, keys, ts: str, values: dict[str, Column], order=(), seconds: int = HOUR) -> DataFrame:
     """Adds, per entry of ``values``, its last non-NULL value up to and including the row."""
-    order = [ts, *order]
-    names = list(values)
     sliced = df.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_slice", time_slice(ts, seconds))
-    newest = F.struct(
-        *[
-            F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(n)
-            for n in names
-        ]
-    )
-    back = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    newest = {
+        n: F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), _position(ts, order))) for n in values
+    }
     joined = _carried(
         sliced, keys, newest,
-        lambda c, w: F.struct(*[F.last(c.getField(n), ignorenulls=True).over(back(w)).alias(n) for n in names]),
+        lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
     )
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_slice").orderBy(ts, *order).rowsBetween(W.unboundedPreceding, 0)
     filled = [
-        F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_carry.{n}")).alias(n) for n in names
+        F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_carry_{n}")).alias(n) for n in values
     ]
-    return joined.select(*[c for c in df.columns if c not in names], *filled)
+    return joined.select(*[c for c in df.columns if c not in values], *filled)
 
 
 def rolling_blocks(df: DataFrame, keys, ts: str, rows: int, order=(), seconds: int = HOUR, block: int = RANK_BLOCK):
