@@ -77,10 +77,14 @@ def cms_column(key: Column, row: int | Column, spec: CmsSpec) -> Column:
     width = F.lit(spec.width).cast("bigint")
     seed = row * (101 if spec.family == "B" else 1)
     digest = F.md5(F.concat(key, seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))))
+    # A power-of-two width only looks at the lowest bits, so only as many digits are converted as it needs.
+    bits = spec.width.bit_length() - 1 if spec.width & (spec.width - 1) == 0 else None
     if spec.family == "B":
-        return (_unsigned(_swap_bytes(digest, 4)) % width).cast("int")
-    if spec.width & (spec.width - 1) == 0:
-        return (_unsigned(F.substring(digest, 25, 8)) % width).cast("int")
+        n_bytes = 4 if bits is None else max(1, -(-bits // 8))
+        return (_unsigned(_swap_bytes(digest, n_bytes)) % width).cast("int")
+    if bits is not None:
+        digits = max(1, -(-bits // 4))
+        return (_unsigned(F.substring(digest, 33 - digits, digits)) % width).cast("int")
     rest = F.lit(0).cast("bigint")
     for chunk in range(4):
         rest = F.pmod(rest * F.lit(1 << 32) + _unsigned(F.substring(digest, 8 * chunk + 1, 8)), width)

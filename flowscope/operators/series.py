@@ -47,13 +47,21 @@ def counter_deltas(snapshots: DataFrame, keys=("agent_id", "src_ip", "dst_ip", "
     return out.where(~F.col("_copied") & (F.col("bytes") > 0)).drop("_copied")
 
 
+def _trailing_sum(col: str, ordered, span: int) -> Column:
+    """Sum over the half-open range (now - span, now], as the difference of two growing sums.
+
+    Growing frames cost one addition per row; a sliding frame would add up its whole content again for every row.
+    """
+    upto = lambda end: F.coalesce(F.sum(col).over(ordered.rangeBetween(W.unboundedPreceding, end)), F.lit(0))
+    return upto(0) - upto(-span)
+
+
 def live_rate(messages: DataFrame, seconds: float = 2.0, ts="ts", bytes_col="bytes", by=(), slice_seconds: int = 60):
     """Bytes per second and Mbps over the last ``seconds`` at every message; the far end is exclusive."""
     span = int(seconds * 1_000_000)
     placed = messages.withColumn("_us", micros(ts))
     laid = with_lookback(placed, F.col("_us"), max(slice_seconds * 1_000_000, span), span)
-    w = W.partitionBy(*by, "_slice").orderBy("_us").rangeBetween(-(span - 1), 0)
-    rate = F.sum(bytes_col).over(w) / F.lit(seconds)
+    rate = _trailing_sum(bytes_col, W.partitionBy(*by, "_slice").orderBy("_us"), span) / F.lit(seconds)
     out = laid.withColumn("rate", rate).where(~F.col("_copied"))
     return out.select(*messages.columns, "rate", (F.col("rate") * 8 / 1e6).alias("mbps"))
 
@@ -156,8 +164,8 @@ def metric_rate(samples: DataFrame, seconds: int = 60, series=("metric", "label"
     span = seconds * 1_000_000
     placed = counter_increments(samples, series, ts, value).withColumn("_us", micros(ts))
     laid = with_lookback(placed, F.col("_us"), max(HOUR * 1_000_000, span), span)
-    w = W.partitionBy(*series, "_slice").orderBy("_us").rangeBetween(-(span - 1), 0)
-    out = laid.withColumn("rate", F.sum("inc").over(w) / F.lit(float(seconds)))
+    summed = _trailing_sum("inc", W.partitionBy(*series, "_slice").orderBy("_us"), span)
+    out = laid.withColumn("rate", summed / F.lit(float(seconds)))
     return out.where(~F.col("_copied")).select(*samples.columns, "rate")
 
 
