@@ -64,7 +64,7 @@ def flow_rollup(spark, d):
 
 @query
 def flow_rollup_volume(spark, d):
-    return rollup.flow_rollup(I.volume_flows(spark, d))
+    return rollup.flow_rollup(I.volume_flows(spark, d, wide=True))
 
 
 @query
@@ -90,7 +90,7 @@ def traffic_counters(spark, d):
 
 @query
 def traffic_counters_volume(spark, d):
-    return rollup.traffic_counters(I.volume_flows(spark, d))
+    return rollup.traffic_counters(I.volume_flows(spark, d, wide=True))
 
 
 @query
@@ -129,7 +129,7 @@ def hhh_prefixes(spark, d):
 
 @query
 def hhh_prefixes_volume(spark, d):
-    return prefixes.hhh_prefixes(I.volume_flows(spark, d), 1_000_000).drop("mask_len")
+    return prefixes.hhh_prefixes(I.volume_flows(spark, d, wide=True), 1_000_000).drop("mask_len")
 
 
 @query
@@ -317,7 +317,7 @@ def port_scanners_hll(spark, d):
 
 @query
 def port_scanners_volume(spark, d):
-    return detect.port_scanners(I.volume_flows(spark, d))
+    return detect.port_scanners(I.volume_flows(spark, d, wide=True))
 
 
 @query
