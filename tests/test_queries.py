@@ -1,5 +1,7 @@
 """Every named query against its DuckDB SQL on the smallest data set."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -7,6 +9,7 @@ from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 ORACLE = oracle_sql()
+NAMES = sorted(n for n in queries() if not re.match(r"op\d+_|pipeline$", n))  # those have tests of their own
 ROWS_ONLY = {"approx_unique_flows"}  # other engines use other sketch hashes
 
 
@@ -16,7 +19,7 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) - set(ORACLE) == ROWS_ONLY
+    assert set(NAMES) - set(ORACLE) == ROWS_ONLY
     assert set(ORACLE) <= set(queries())
 
 
@@ -24,7 +27,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
     if name in ORACLE:
