@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowscope.llm.jaccard_join import jaccard_components
 from flowscope.llm.packing import pack_documents
+from flowscope.llm.suffix_dedup import remove_repeats
 from flowscope.llm.token_counts import count_tokens
 
 
@@ -15,6 +16,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=5, percent=75)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=100)
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
@@ -28,6 +37,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }

@@ -47,3 +47,19 @@ def jaccard_components(docs, percent=75):
     links = [(a, b) for (a, b), c in common.items() if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c)]
     component = smallest_reachable(sets, links)
     return {i: (len(s), component[i]) for i, s in sets.items()}
+
+
+def kept_bytes(docs, window=100):
+    """{id: (removed spans, kept bytes)} by a table of all windows in order of (id, start)."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for a in range(len(data) - window + 1):
+            w = data[a : a + window]
+            if w in seen:
+                gone[a : a + window] = b"\1" * window
+            seen.add(w)
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        out[i] = (spans, bytes(b for b, g in zip(data, gone) if not g))
+    return out
