@@ -281,9 +281,9 @@ def _split_regions(large: DataFrame, percent: int, level: int) -> tuple[DataFram
     draw = F.xxhash64("id", F.lit(level))
     ranked = large.withColumn("place", F.row_number().over(W.partitionBy("region").orderBy(draw, "id")))
     pivots = ranked.where(F.col("place") <= PIVOTS).select(
-        "region", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("ids").alias("pivot_ids"), "slices"
+        F.col("region").alias("region"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("ids").alias("pivot_ids"),
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
     )
-    pivots = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     slices = large.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     placed = slices.groupBy("region", "slice").cogroup(pivots.groupBy("region", "slice")).applyInArrow(
         _with_region(_to_pivots(percent)), "region string, id bigint, links array<bigint>, cells array<bigint>, far array<double>"
