@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowscope.llm.chat import chat_digests, formatted_table
 from flowscope.llm.jaccard_join import jaccard_components
 from flowscope.llm.packing import pack_documents
 from flowscope.llm.suffix_dedup import remove_repeats
 from flowscope.llm.token_counts import count_tokens
+from flowscope.llm.warc import archive_pages, page_archive_folder, page_id_of, read_archives
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +26,32 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = page_archive_folder(spark)
+    archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least=0)
+    records = read_archives(spark, folder, verify=True).where("record_type in ('response', 'revisit')")
+    return records.select(
+        page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_id_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = [(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)]
+    chats = chats.union(spark.createDataFrame(extra, "conv_id bigint, turn bigint, role string, text string"))
+    return chat_digests(formatted_table(chats, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -38,8 +60,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_warc": op5_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
 }
 
-CHECKS: dict[str, str] = {}
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31) AS BIGINT), 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+OP9 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(regexp_replace(r, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g'))
+    + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+CHECKS: dict[str, str] = {"op5_warc": OP5, "op9_chat_formatting": OP9}
