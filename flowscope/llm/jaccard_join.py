@@ -40,17 +40,18 @@ PIVOTS = 16
 REPEATED = 3.0  # average copies of a set beyond which windows no longer pay
 LOW = np.uint64((1 << 40) - 1)
 
-_BLOCKS = ("part int, doc_id bigint, n int, digest binary, sets binary, sizes binary, owner binary, low binary, "
-           "high binary")
-_REPLIES = "bucket int, doc_id bigint, n int, digest binary, sets binary, sizes binary, owner binary, ids binary, df binary"
-_SETS = "digest binary, n int, ids binary, prefix array<bigint>"
+NAME = np.dtype("V12")  # a set's digest
+
+_BLOCKS = "part int, doc_id bigint, n int, digest binary, sets binary, count binary, low binary, high binary"
+_REPLIES = "bucket int, doc_id bigint, n int, digest binary, sets binary, count binary, ids binary, df binary"
+_SETS = "digest binary, ids binary, ordered binary"
 
 
 def set_digest(sorted_hashes: np.ndarray) -> bytes:
-    """128 bits that name a set."""
+    """96 bits that name a set."""
     one = np.add.reduce(mix(sorted_hashes), dtype=np.uint64)
     two = np.add.reduce(mix(sorted_hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)
-    return np.array([one, two], np.uint64).tobytes()
+    return np.array([one, two], np.uint64).tobytes()[: NAME.itemsize]
 
 
 def _blob(column, dtype) -> list[np.ndarray]:
@@ -67,22 +68,29 @@ def _arrow_schema(text: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in text.split(", "))])
 
 
-def _block_rows(sets: dict[bytes, tuple[int, np.ndarray]], parts: int) -> Iterator[tuple]:
-    """The shingles of a block's sets, sorted and cut by part."""
-    digests = list(sets)
-    hashes = np.concatenate([sets[d][1] for d in digests])
-    owner = np.repeat(np.arange(len(digests), dtype=np.uint16), [len(sets[d][1]) for d in digests])
-    order = np.argsort(hashes)
-    hashes, owner = hashes[order], owner[order]
+def _block_rows(sets: dict[bytes, np.ndarray], parts: int) -> Iterator[tuple]:
+    """The shingles of a block's sets by part, and in a part by set."""
+    digests = np.frombuffer(b"".join(sets), NAME)
+    hashes = np.concatenate(list(sets.values()))
+    owner = np.repeat(np.arange(len(digests)), [len(h) for h in sets.values()])
     part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    low = hashes & LOW
-    border = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    order = np.argsort(part, kind="stable")
+    owner, low = owner[order], hashes[order] & LOW
+    border = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
     for p in np.flatnonzero(np.diff(border)):
         at = slice(border[p], border[p + 1])
-        here, own = np.unique(owner[at], return_inverse=True)
-        yield (int(p), None, None, None, b"".join(digests[i] for i in here),
-               np.array([sets[digests[i]][0] for i in here], np.int32).tobytes(), own.astype(np.uint16).tobytes(),
-               low[at].astype(np.uint32).tobytes(), (low[at] >> np.uint64(32)).astype(np.uint8).tobytes())
+        here, count = np.unique(owner[at], return_counts=True)
+        yield (int(p), None, None, None, digests[here].tobytes(), _packed(count), low[at].astype(np.uint32).tobytes(),
+               (low[at] >> np.uint64(32)).astype(np.uint8).tobytes())
+
+
+def _packed(count: np.ndarray) -> bytes:
+    """Counts as bytes if they fit, else as 32-bit numbers."""
+    return count.astype(np.uint8 if count.max() < 256 else np.uint32).tobytes()
+
+
+def _unpacked(blob: np.ndarray, n: int) -> np.ndarray:
+    return blob if len(blob) == n else blob.view(np.uint32)
 
 
 def shingle_blocks(size: int, parts: int):
@@ -97,9 +105,9 @@ def shingle_blocks(size: int, parts: int):
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 hashes = shingle_hashes(data[border[i] : border[i + 1]], size)
                 digest = set_digest(hashes) if len(hashes) else None
-                rows.append((i % parts, doc_id, len(hashes), digest, None, None, None, None, None))
+                rows.append((i % parts, doc_id, len(hashes), digest, None, None, None, None))
                 if doc_id is not None and digest is not None and digest not in sets:
-                    sets[digest] = (len(hashes), hashes)
+                    sets[digest] = hashes
                     waiting += len(hashes)
                 if waiting >= BLOCK_SHINGLES or len(sets) >= BLOCK_DOCS:
                     rows.extend(_block_rows(sets, parts))
@@ -111,17 +119,12 @@ def shingle_blocks(size: int, parts: int):
     return run
 
 
-def _join_sets(tables: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct set names of several tables, their sizes, and where each table entry is among them."""
-    names, first, at = np.unique(np.concatenate(tables), return_index=True, return_inverse=True)
-    return names, np.concatenate(sizes)[first], at
-
-
-def _gather(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    tables = _blob(rows["sets"], "V16")
-    names, sizes, at = _join_sets(tables, _blob(rows["sizes"], np.int32))
-    base = np.cumsum([0, *(len(t) for t in tables)])
-    return names, sizes, tables, np.split(at, base[1:-1]) if len(tables) > 1 else [at]
+def _gather(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct set names in the rows' tables, and the set of every entry as a place among them."""
+    tables = _blob(rows["sets"], NAME)
+    names, at = np.unique(np.concatenate(tables), return_inverse=True)
+    count = [_unpacked(c, len(t)) for c, t in zip(_blob(rows["count"], np.uint8), tables, strict=True)]
+    return names, np.repeat(at, np.concatenate(count).astype(np.int64))
 
 
 def count_sets(buckets: int):
@@ -133,12 +136,11 @@ def count_sets(buckets: int):
         known = pa.compute.is_null(rows["sets"])
         docs, blocks = rows.filter(known), rows.filter(pa.compute.invert(known))
         none = pa.nulls(len(docs), pa.binary())
-        passed = pa.table([pa.nulls(len(docs), pa.int32()), docs["doc_id"], docs["n"], docs["digest"], none, none, none, none, none],
+        passed = pa.table([pa.nulls(len(docs), pa.int32()), docs["doc_id"], docs["n"], docs["digest"], none, none, none, none],
                           schema=schema)
         if not len(blocks):
             return passed
-        names, sizes, _, at = _gather(blocks)
-        owner = np.concatenate([a[o] for a, o in zip(at, _blob(blocks["owner"], np.uint16), strict=True)])
+        names, owner = _gather(blocks)
         ids = np.concatenate(_blob(blocks["low"], np.uint32)).astype(np.int64)
         ids |= np.concatenate(_blob(blocks["high"], np.uint8)).astype(np.int64) << 32
         order = np.lexsort((owner, ids))
@@ -150,41 +152,49 @@ def count_sets(buckets: int):
         df = np.repeat(count, count)
         shared = df > 1
         ids, owner, df = ids[shared] | (part << 40), owner[shared], df[shared].astype(np.int32)
-        bucket = names.view(np.uint32).reshape(-1, 4)[:, 1] % buckets
-        by = np.argsort(bucket[owner], kind="stable")
+        bucket = names.view(np.uint32).reshape(-1, 3)[:, 1] % buckets
+        by = np.lexsort((owner, bucket[owner]))
         ids, owner, df = ids[by], owner[by], df[by]
         border = np.searchsorted(bucket[owner], np.arange(buckets + 1))
         out = []
         for b in np.flatnonzero(np.diff(border)):
             cut = slice(border[b], border[b + 1])
-            here, own = np.unique(owner[cut], return_inverse=True)
-            out.append((int(b), None, None, None, names[here].tobytes(), sizes[here].astype(np.int32).tobytes(),
-                        own.astype(np.uint32).tobytes(), ids[cut].tobytes(), df[cut].tobytes()))
+            here, each = np.unique(owner[cut], return_counts=True)
+            out.append((int(b), None, None, None, names[here].tobytes(), _packed(each), ids[cut].tobytes(), df[cut].tobytes()))
         return pa.concat_tables([passed, _table(out, schema)])
 
     return run
 
 
-def linkable_sets(percent: int):
-    """Reducer of a bucket: sets of which enough is shared, and their rare shingles, one of which a partner must have."""
-    schema = _arrow_schema(_SETS)
+def _by_set(key, rows):
+    """Reducer of a bucket: each set's shared shingles, sorted, and also from rare to common."""
+    names, owner = _gather(rows)
+    ids, df = np.concatenate(_blob(rows["ids"], np.int64)), np.concatenate(_blob(rows["df"], np.int32))
+    order = np.lexsort((ids, df, owner))
+    ids, owner = ids[order], owner[order]
+    border = np.searchsorted(owner, np.arange(len(names) + 1))
+    out = []
+    for i in range(len(names)):
+        mine = ids[border[i] : border[i + 1]]
+        out.append((names[i].tobytes(), np.sort(mine).tobytes(), mine.tobytes()))
+    return _table(out, _arrow_schema(_SETS))
 
-    def run(key, rows):
-        names, sizes, _, at = _gather(rows)
-        owner = np.concatenate([a[o] for a, o in zip(at, _blob(rows["owner"], np.uint32), strict=True)])
-        ids = np.concatenate(_blob(rows["ids"], np.int64))
-        df = np.concatenate(_blob(rows["df"], np.int32))
-        order = np.lexsort((ids, df, owner))
-        ids, owner = ids[order], owner[order]
-        border = np.searchsorted(owner, np.arange(len(names) + 1))
-        out = []
-        for i, n in enumerate(sizes.tolist()):
-            mine = ids[border[i] : border[i + 1]]
-            spare = n - -(-percent * n // 100)  # shingles a set may have for itself
-            first = spare + 1 - (n - len(mine))
-            if first > 0:
-                out.append((names[i].tobytes(), n, np.sort(mine).tobytes(), mine[:first].tolist()))
-        return _table(out, schema)
+
+def _rare_shingles(percent: int):
+    """Mapper: keeps sets of which enough is shared, with the shingles of which a partner must have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, prefix = [], []
+            for i, (n, ordered) in enumerate(zip(batch.column("n").to_pylist(), batch.column("ordered"), strict=True)):
+                mine = np.frombuffer(ordered.as_buffer(), np.int64)
+                spare = n - -(-percent * n // 100)  # shingles a set may have for itself
+                first = spare + 1 - (n - len(mine))
+                if first > 0:
+                    keep.append(i)
+                    prefix.append(mine[:first])
+            kept = batch.select(["id", "n", "ids"]).take(pa.array(keep, pa.int64()))
+            yield kept.append_column("prefix", pa.array(prefix, pa.list_(pa.int64())))
 
     return run
 
@@ -353,14 +363,15 @@ def jaccard_sets(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: s
     spark = docs.sparkSession
     ship_code(spark)
     width = shuffle_width(spark)
-    parts, buckets = 4 * width, width
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_column(docs, text).alias("text"))
-    blocks = rows.mapInArrow(shingle_blocks(shingle, parts), _BLOCKS)
-    replies = materialize(blocks.groupBy("part").applyInArrow(count_sets(buckets), _REPLIES), "jaccard-shingles")
+    blocks = rows.mapInArrow(shingle_blocks(shingle, width), _BLOCKS)
+    replies = materialize(blocks.groupBy("part").applyInArrow(count_sets(width), _REPLIES), "jaccard-shingles")
     named = replies.where("bucket is null").select("doc_id", "n", "digest")
-    sets = replies.where("bucket is not null").groupBy("bucket").applyInArrow(linkable_sets(percent), _SETS)
-    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    sets = sets.join(classes, "digest").drop("digest")
+    sets = replies.where("bucket is not null").groupBy("bucket").applyInArrow(_by_set, _SETS)
+    # as many shingles as a set must share; sets with fewer leave before they are joined
+    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+    sets = sets.join(classes, "digest").where(F.length("ids") / 8 * 100 >= percent * F.col("n")).select("id", "n", "ids", "ordered")
+    sets = sets.mapInArrow(_rare_shingles(percent), "id bigint, n int, ids binary, prefix array<bigint>")
     return named, materialize(sets, "jaccard-sets")
 
 
