@@ -35,7 +35,7 @@ FIRST_DEPTH = 25
 LOW = np.uint64((1 << 40) - 1)
 NO_ID = (1 << 63) - 1
 REMOVED, ASKED = 0, 1
-DOC = np.dtype([("id", "<i8"), ("key", "<i8")])
+DOC = np.dtype([("id", "<i8"), ("key", "<i4")])
 
 # entries to sort (part set) or decisions on documents (bucket set)
 _ROWS = ("part int, bucket int, docs binary, owner binary, low binary, high binary, kind binary, start binary, stop binary, "
@@ -123,14 +123,15 @@ def _merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
 
 def _decision_rows(docs: np.ndarray, owner, start, stop, what, width: int) -> Iterator[tuple]:
     """Decisions by bucket of documents."""
-    bucket = (docs["key"].view(np.uint64) % np.uint64(width)).astype(np.int64)[owner]
+    mixed = mix(docs["id"].astype(np.uint64) * ODD + docs["key"].astype(np.uint64))
+    bucket = (mixed % np.uint64(width)).astype(np.int64)[owner]
     order = np.argsort(bucket, kind="stable")
     owner, start, stop, what = owner[order], start[order], stop[order], what[order]
     border = np.searchsorted(bucket[order], np.arange(width + 1))
     for b in np.flatnonzero(np.diff(border)):
         cut = slice(border[b], border[b + 1])
         here, own = np.unique(owner[cut], return_inverse=True)
-        yield (int(b) % 997, int(b), docs[here].tobytes(), own.astype(np.uint32).tobytes(), None, None, None,
+        yield (int(b), int(b), docs[here].tobytes(), own.astype(np.uint32).tobytes(), None, None, None,
                start[cut].astype(np.uint32).tobytes(), stop[cut].astype(np.uint32).tobytes(), what[cut].astype(np.uint8).tobytes())
 
 
@@ -325,15 +326,14 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     A byte goes if a ``window``-byte string over it also starts earlier: in a document of a smaller id, or earlier in
     the same one.  Strings never cross documents and are judged on the input.  Null texts are empty; texts shorter than
     the window lose nothing.  Rows equal in id and text are one document and get the same result each; rows that share
-    an id only are ordered by a hash of their text; rows without an id come last.  Windows are compared by 64 hash bits
+    an id only are ordered by 31 hash bits of their text; rows without an id come last.  Windows are compared by 64 hash bits
     of their second refinement and about 47 of the first.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    width = shuffle_width(spark)
-    parts = 4 * width
+    parts = width = shuffle_width(spark)
     body = text_column(docs, text)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).bitwiseAND(0x7FFFFFFF).alias("key"), body.alias("text"))
     runs = rows.mapInArrow(_run_blocks(window, parts, width), _ROWS)
     sorted_runs = runs.groupBy("part").applyInArrow(_first_occurrences(window, width, True), _ROWS)
     spans = materialize(sorted_runs.groupBy("bucket").applyInArrow(_by_document, _SPANS), "repeats-runs")
