@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.llm.chat import chat_digests, formatted_table
+from flowscope.llm.decontaminate import find_items
+from flowscope.llm.fingerprints import fingerprint_documents
 from flowscope.llm.jaccard_join import jaccard_components
 from flowscope.llm.packing import pack_documents
+from flowscope.llm.secrets import scan_secrets, span_list
 from flowscope.llm.suffix_dedup import remove_repeats
 from flowscope.llm.token_counts import count_tokens
 from flowscope.llm.warc import archive_pages, page_archive_folder, page_id_of, read_archives
@@ -18,6 +21,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=5, percent=75)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return prints.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=100)
     return cut.select(
@@ -36,6 +44,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
@@ -59,8 +81,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_warc": op5_warc,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_token_counts": op10_token_counts,
@@ -79,6 +104,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM f
 """
 
+_SHINGLES = """
+  SELECT DISTINCT {id} AS id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (
+    SELECT {id}, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM (
+      SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM {table}) WHERE len(w) > 0)
+"""
+
+OP7 = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+s AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, n_shared, n_shared / n AS containment
+FROM s JOIN n ON n.id = item_id WHERE 100 * n_shared >= 75 * n
+"""
+
 OP9 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
@@ -93,4 +133,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-CHECKS: dict[str, str] = {"op5_warc": OP5, "op9_chat_formatting": OP9}
+CHECKS: dict[str, str] = {"op5_warc": OP5, "op7_benchmark_decontamination": OP7, "op9_chat_formatting": OP9}

@@ -63,3 +63,15 @@ def kept_bytes(docs, window=100):
         spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
         out[i] = (spans, bytes(b for b, g in zip(data, gone) if not g))
     return out
+
+
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def base_secrets(text):
+    """(kind, start, stop) of the fixed patterns, by start and kind."""
+    text = text or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, text, re.I | re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(kind, a, b) for a, _, b, kind in sorted(found)]
