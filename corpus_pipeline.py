@@ -1,5 +1,76 @@
-"""The training-data pipeline: its stages, the run over ``documents`` and its registration."""
+"""A pipeline from raw documents to packed training sequences.
 
-QUERIES: dict = {}
-CHECKS: dict = {}
-STAGES: list = []
+Each stage takes the session, the documents that its predecessor kept and the folder of the tables.  All but the last
+return the columns of ``documents``; ``run`` writes every stage's result to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowscope.llm.common import materialize, text_column
+from flowscope.llm.decontaminate import find_items
+from flowscope.llm.jaccard_join import jaccard_components
+from flowscope.llm.line_crf import train, with_quality
+from flowscope.llm.packing import pack_documents
+from flowscope.llm.secrets import redact, with_spans
+
+ORACLE_SQL = None  # model scores and token ids are beyond SQL; tests compare with a plain version
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose lines are more likely good than bad."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_quality(docs, model, "quality_score").where("quality_score >= 0.5").drop("quality_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays; of repeated rows of an id, one."""
+    groups = jaccard_components(docs)
+    stay = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("stay_id")).agg(F.count("*").alias("stay_rows"))
+    kept = docs.join(stay, docs["doc_id"] == stay["stay_id"])
+    once = kept.where("stay_rows = 1").select(*docs.columns)
+    again = kept.where("stay_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.union(again).union(docs.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    rows = with_spans(docs.withColumn("text", text_column(docs)))
+    found = F.size("spans") > 0
+    clean = F.when(found, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    rows = rows.withColumn("text", clean).withColumn("n_chars", F.when(found, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+CHECKS = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

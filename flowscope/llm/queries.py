@@ -10,6 +10,7 @@ from flowscope.llm.chat import chat_digests, formatted_table
 from flowscope.llm.decontaminate import find_items
 from flowscope.llm.fingerprints import fingerprint_documents
 from flowscope.llm.jaccard_join import jaccard_components
+from flowscope.llm.line_crf import held_out, train, with_quality
 from flowscope.llm.packing import pack_documents
 from flowscope.llm.secrets import scan_secrets, span_list
 from flowscope.llm.suffix_dedup import remove_repeats
@@ -21,6 +22,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=5, percent=75)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = with_quality(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return prints.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
@@ -81,6 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_warc": op5_warc,
