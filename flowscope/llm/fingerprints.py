@@ -33,8 +33,32 @@ def next_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*rows.columns, *[following[k].alias(f"next_{k}") for k in keys])
 
 
+NO_ID = (1 << 63) - 1  # stands for a missing id in joins
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    body = text_column(docs, text)
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+
+
+def _id(column: str):
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def fingerprint_documents(docs: DataFrame, places: int = PLACES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_chars, edited text, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``.
+    """(id, fingerprint) for every row of ``docs``; equal texts have equal fingerprints.
+
+    Null texts are empty; texts without words share a fingerprint of their own kind.  Repeated rows appear as often as
+    they come, rows without an id too.
+    """
+    rows = _keyed(docs, id_col, text)
+    signed = signatures(rows.dropDuplicates(["key"]).select("key", "text"), ["key"], places)
+    named = rows.select("id", "key").join(signed, "key", "left")
+    return named.select(_id("id").alias(id_col), fingerprint(F.col("signature"), places).alias("fingerprint"))
+
+
+def compare_edited_and_next(docs: DataFrame, places: int = PLACES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``.
 
     The edited text has its last quarter (floor) of code points replaced by the first as many, or all, of the next
     document by id.  Null texts are empty; a text without words has a fingerprint of its own kind, and two such are
@@ -42,49 +66,34 @@ def fingerprint_documents(docs: DataFrame, places: int = PLACES, id_col: str = "
     ordered by a hash of their text, rows without an id are last.  A single document is its own next one.
     """
     keys = ["id", "key"]
-    body = text_column(docs, text)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    rows = _keyed(docs, id_col, text)
     sized = rows.groupBy(*keys).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
     order = materialize(next_in_order(sized, keys), "fingerprint-order")
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
     # what each next document gives its predecessor: only the beginning that is needed travels
     wanted = order.select(F.col("next_id").alias("id"), F.col("next_key").alias("key"), F.col("id").alias("to_id"),
-                          F.col("key").alias("to_key"), quarter.alias("quarter"))
-    single = rows.dropDuplicates(keys)
-    same = lambda a, b: (a["id"].eqNullSafe(b["id"])) & (a["key"] == b["key"])
-    heads = wanted.join(single, same(wanted, single)).select(
-        F.col("to_id").alias("h_id"), F.col("to_key").alias("h_key"), F.expr("substring(text, 1, quarter)").alias("head")
+                          F.col("key").alias("to_key"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"))
+    single = rows.dropDuplicates(keys)  # the texts are laid out by id and key once, for all that follows
+    heads = single.join(wanted, keys).select(
+        F.col("to_id").alias("id"), F.col("to_key").alias("key"), F.expr("substring(text, 1, quarter)").alias("head")
     )
-    meta = order.select(F.col("id").alias("o_id"), F.col("key").alias("o_key"), "n_chars", "copies", "next_id", "next_key")
-    whole = single.join(heads, (single["id"].eqNullSafe(heads["h_id"])) & (single["key"] == heads["h_key"]))
-    whole = whole.select("id", "key", "text", "head")
     edited = F.expr("concat(substring(text, 1, length(text) - floor(length(text) / 4)), head)")
-    both = whole.select(
-        "id", "key", F.explode(F.array(
-            F.struct(F.lit(0).alias("edit"), F.col("text").alias("text")), F.struct(F.lit(1).alias("edit"), edited.alias("text")),
-        )).alias("version"),
-    ).select("id", "key", "version.edit", "version.text")
-    signed = signatures(both, ["id", "key", "edit"], places)
-    pairs = signed.groupBy("id", "key").agg(
-        F.max(F.when(F.col("edit") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("edit") == 1, F.col("signature"))).alias("edited")
+    whole = single.join(heads, keys).select(*keys, "text", edited.alias("edited"))
+    version = F.explode(F.array(
+        F.struct(F.lit(0).alias("edit"), F.col("text").alias("text")), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")),
+    )).alias("version")
+    signed = signatures(whole.select(*keys, version).select(*keys, "version.edit", "version.text"), [*keys, "edit"], places)
+    pairs = signed.groupBy(*keys).agg(
+        F.max(F.when(F.col("edit") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("edit") == 1, F.col("signature"))).alias("changed")
     )
-    prints = materialize(pairs.select(
-        F.col("id").alias("p_id"), F.col("key").alias("p_key"), fingerprint(F.col("own"), places).alias("fingerprint"),
-        fingerprint(F.col("edited"), places).alias("edited_fingerprint"),
+    digests = whole.select(*keys, F.sha2("edited", 256).alias("edited_sha256"))
+    blank = F.array_repeat(F.lit(-1), places)
+    prints = materialize(digests.join(pairs, keys, "left").select(
+        *keys, "edited_sha256", *[F.coalesce(F.col(c).cast("array<int>"), blank).alias(c) for c in ("own", "changed")]
     ), "fingerprints")
-    texts = whole.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), edited.alias("edited"))
-    blank = F.lit("-" * 7 * places)
-    out = meta.join(prints, (F.col("o_id").eqNullSafe(F.col("p_id"))) & (F.col("o_key") == F.col("p_key")), "left")
-    nexts = prints.select(F.col("p_id").alias("n_id"), F.col("p_key").alias("n_key"), F.col("fingerprint").alias("next_print"))
-    out = out.join(nexts, (F.col("next_id").eqNullSafe(F.col("n_id"))) & (F.col("next_key") == F.col("n_key")), "left")
-    out = out.join(texts, (F.col("o_id").eqNullSafe(F.col("t_id"))) & (F.col("o_key") == F.col("t_key")))
-    out = out.select(
-        F.col("o_id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited", "copies",
-        *[F.coalesce(c, blank).alias(c) for c in ("fingerprint", "edited_fingerprint", "next_print")],
+    nexts = prints.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next"))
+    out = order.join(prints, keys).join(nexts, ["next_id", "next_key"]).select(
+        _id("id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
+        fingerprint(F.col("own"), places).alias("fingerprint"), fingerprint(F.col("changed"), places).alias("edited_fingerprint"),
+        likeness("own", "changed").alias("near_edited"), likeness("own", "next").alias("near_next"), "copies",
     )
-    return out.select(
-        id_col, "n_chars", "edited", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", places).alias("near_edited"),
-        likeness("fingerprint", "next_print", places).alias("near_next"),
-        F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("copy"),
-    ).drop("copy")
+    return out.withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).drop("copy", "copies")

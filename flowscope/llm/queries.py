@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowscope.llm.chat import chat_digests, formatted_table
 from flowscope.llm.decontaminate import find_items
-from flowscope.llm.fingerprints import fingerprint_documents
+from flowscope.llm.fingerprints import compare_edited_and_next
 from flowscope.llm.jaccard_join import jaccard_components
 from flowscope.llm.line_crf import held_out, train, with_quality
 from flowscope.llm.packing import pack_documents
@@ -30,8 +30,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return prints.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    return compare_edited_and_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

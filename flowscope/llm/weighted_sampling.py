@@ -57,13 +57,12 @@ def signatures(texts: DataFrame, keys: list[str], places: int, text: str = "text
 
 
 def fingerprint(signature: Column, places: int) -> Column:
-    """The signature as text: seven hexadecimal digits a place; a text without words has dashes."""
-    shown = F.array_join(F.transform(signature, lambda v: F.lower(F.lpad(F.hex(v), 7, "0"))), "")
-    return F.coalesce(shown, F.lit("-" * 7 * places))
+    """The signature as text: seven hexadecimal digits a place; a text without words (null, or -1 everywhere) has dashes."""
+    shown = F.transform(signature, lambda v: F.when(v < 0, "-" * 7).otherwise(F.lower(F.lpad(F.hex(v), 7, "0"))))
+    return F.coalesce(F.array_join(shown, ""), F.lit("-" * 7 * places))
 
 
-def likeness(one: str, other: str, places: int) -> Column:
-    """Share of equal places of two fingerprints, 0 to 1."""
-    at = F.sequence(F.lit(0), F.lit(places - 1))
-    same = F.filter(at, lambda i: F.substring(F.col(one), i * 7 + 1, F.lit(7)) == F.substring(F.col(other), i * 7 + 1, F.lit(7)))
-    return F.size(same) / F.lit(float(places))
+def likeness(one: str, other: str) -> Column:
+    """Share of equal places of two signatures, 0 to 1."""
+    same = F.zip_with(one, other, lambda a, b: a == b)
+    return F.size(F.filter(same, lambda x: x)) / F.size(one)
