@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from flowscope.functions.hashing import CmsSpec, check_cms, cms_column
 from flowscope.functions.net import flow_key
 
-# Largest sketch answered from one array (8 bytes per cell); beyond it point queries join on the cells.
-BROADCAST_CELLS = 1 << 20
 METRICS = ("bytes", "packets", "flows")
 
 
@@ -108,15 +106,16 @@ def _dense(sketch: CountMin) -> DataFrame:
     return filled.agg(F.transform(ordered, lambda x: x["cnt"]).alias("cells"))
 
 
-def cms_estimate(sketch: CountMin, candidates: DataFrame, key_col: str = "key") -> DataFrame:
+def cms_estimate(sketch: CountMin, candidates: DataFrame, key_col: str = "key", dense: bool = True) -> DataFrame:
     """Point query: the smallest of the key's cells, a missing cell counting as 0.  Adds ``estimate``.
 
-    A sketch of at most ``BROADCAST_CELLS`` cells (its size is fixed by its shape, not by the data) becomes one array,
-    computed once as a scalar subquery, and candidates of any number are answered in place: no join and no shuffle.
-    A larger sketch is joined by (row, column) and the smallest cell taken per key.
+    ``dense`` turns the sketch into one array (8 bytes a cell; its size is fixed by its shape, not by the data),
+    computed once as a scalar subquery: candidates of any number are answered in place, without join or shuffle.  For a
+    sketch too wide for that, the caller asks for a join by (row, column) instead.  Both give the same rows: repeated
+    candidates stay, a NULL key has a NULL estimate.
     """
     spec = check_cms(sketch.spec)
-    if spec.width * spec.depth <= BROADCAST_CELLS:
+    if dense:
         cells = _dense(sketch).scalar()
         reads = [
             F.element_at(cells, F.lit(i * spec.width + 1) + cms_column(F.col(key_col), i, spec))
@@ -124,11 +123,11 @@ def cms_estimate(sketch: CountMin, candidates: DataFrame, key_col: str = "key")
         ]
         smallest = F.least(*reads) if len(reads) > 1 else reads[0]
         return candidates.select(*candidates.columns, smallest.alias("estimate"))
-    keyed = candidates.select(F.col(key_col).alias("_k")).distinct()
+    keyed = candidates.select(F.col(key_col).alias("_k")).where("_k IS NOT NULL").distinct()
     placed = _placed(keyed.withColumn("_key", F.col("_k")), "_k", spec)
     looked = placed.join(sketch.cells, ["row_i", "col_j"], "left")
     least = looked.groupBy("_key").agg(F.min(F.coalesce("cnt", F.lit(0))).cast("bigint").alias("estimate"))
-    return candidates.join(least, F.col(key_col) == F.col("_key")).select(*candidates.columns, "estimate")
+    return candidates.join(least, F.col(key_col) == F.col("_key"), "left").select(*candidates.columns, "estimate")
 
 
 def flow_truth(flows: DataFrame) -> DataFrame:

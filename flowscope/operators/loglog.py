@@ -116,8 +116,9 @@ def cardinality_rows(cards: DataFrame) -> DataFrame:
 
 
 def approx_unique_flows(flows: DataFrame, rsd: float = 0.01, by=()) -> DataFrame:
-    """Distinct flows by Spark's own sketches: HyperLogLog++ and a mergeable DataSketches HLL."""
+    """Distinct flows by Spark's own sketches, HyperLogLog++ and a mergeable DataSketches HLL, beside the exact number."""
     return flows.groupBy(*by).agg(
+        F.countDistinct(flow_key()).alias("exact"),
         F.approx_count_distinct(flow_key(), rsd).alias("approx_flows"),
         F.hll_sketch_estimate(F.hll_sketch_agg(flow_key(), 14)).alias("datasketch_flows"),
     )

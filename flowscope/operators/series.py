@@ -173,13 +173,14 @@ def step_rates(samples: DataFrame, seconds: int = 60, step: int = 15, series=("m
                value="value") -> DataFrame:
     """Rates on an evaluation grid: each increment feeds the steps whose look-back covers it.
 
-    The expansion is constant (seconds / step rows per increment) and partially summed before the shuffle.
+    The expansion is constant (seconds / step rows per increment) and partially summed before the shuffle.  Increments
+    of zero count too: a series that rests has the rate 0, not a gap.
     Result: series, ``step_ts``, ``rate``.
     """
     if seconds % step:
         raise ValueError("the rate span must be a multiple of the step")
     unit = step * 1_000_000
-    inc = counter_increments(samples, series, ts, value).where(F.col("inc") > 0)
+    inc = counter_increments(samples, series, ts, value)
     first = F.ceil(micros(ts) / F.lit(unit)) * unit
     steps = F.explode(F.sequence(first, first + F.lit((seconds - step) * 1_000_000), F.lit(unit)))
     placed = inc.select(*series, "inc", steps.alias("_us"))

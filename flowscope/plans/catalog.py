@@ -64,7 +64,7 @@ def flow_rollup(spark, d):
 
 @query
 def flow_rollup_volume(spark, d):
-    return rollup.flow_rollup(I.volume_flows(spark, d, wide=True))
+    return rollup.flow_rollup(I.volume_flows(spark, d))
 
 
 @query
@@ -90,7 +90,7 @@ def traffic_counters(spark, d):
 
 @query
 def traffic_counters_volume(spark, d):
-    return rollup.traffic_counters(I.volume_flows(spark, d, wide=True))
+    return rollup.traffic_counters(I.volume_flows(spark, d))
 
 
 @query
@@ -129,7 +129,7 @@ def hhh_prefixes(spark, d):
 
 @query
 def hhh_prefixes_volume(spark, d):
-    return prefixes.hhh_prefixes(I.volume_flows(spark, d, wide=True), 1_000_000).drop("mask_len")
+    return prefixes.hhh_prefixes(I.volume_flows(spark, d), 1_000_000).drop("mask_len")
 
 
 @query
@@ -164,7 +164,7 @@ def spray_index(spark, d):
 
 
 def _cms(spark, d, spec=CmsSpec()):
-    return cm.cms_build(I.spread_flows(spark, d), net.flow_key(), "bytes", spec)
+    return cm.cms_build(I.flows(spark, d), net.flow_key(), "bytes", spec)
 
 
 @query
@@ -179,34 +179,34 @@ def cms_build_odd_width(spark, d):
 
 @query
 def cms_build_volume(spark, d):
-    return cm.cms_build(I.volume_flows(spark, d, wide=True), net.flow_key(), "bytes").cells
+    return cm.cms_build(I.volume_flows(spark, d), net.flow_key(), "bytes").cells
 
 
 @query
 def cms_build_metrics(spark, d):
-    return cm.cms_build_metrics(I.spread_flows(spark, d)).cells
+    return cm.cms_build_metrics(I.flows(spark, d)).cells
 
 
 @query
 def cms_build_b(spark, d):
-    return cm.cms_build(I.spread_flows(spark, d), net.flow_id(), "bytes", B_SPEC).cells
+    return cm.cms_build(I.flows(spark, d), net.flow_id(), "bytes", B_SPEC).cells
 
 
 @query
 def cms_estimate(spark, d):
-    return cm.cms_estimate(_cms(spark, d), cm.flow_truth(I.spread_flows(spark, d)), "flow")
+    return cm.cms_estimate(_cms(spark, d), cm.flow_truth(I.flows(spark, d)), "flow")
 
 
 @query
 def cms_merge(spark, d):
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     part = lambda cond: cm.cms_build(f.where(cond), net.flow_key(), "bytes")
     return cm.cms_merge(part("user_id % 2 = 0"), part("user_id % 2 = 1")).cells
 
 
 @query
 def cms_heavy_hitters(spark, d):
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     sketch = cm.cms_build_metrics(f)
     tops = [
         cm.cms_heavy_hitters(f, sketch, 10, m).select(F.lit(m).alias("metric"), "flow", "estimate") for m in cm.METRICS
@@ -216,13 +216,13 @@ def cms_heavy_hitters(spark, d):
 
 @query
 def cms_heavy_hitters_b(spark, d):
-    f = I.with_ids(I.spread_flows(spark, d))
+    f = I.with_ids(I.flows(spark, d))
     return cm.cms_heavy_hitters_b(f, cm.cms_build(f, "flow_id", "bytes", B_SPEC))
 
 
 @query
 def ip_statistics(spark, d):
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     sketch = cm.cms_build_metrics(f)
     return cm.ip_statistics(f, sketch, "src").unionByName(cm.ip_statistics(f, sketch, "dst"))
 
@@ -232,65 +232,67 @@ def ip_statistics(spark, d):
 
 @query
 def hll_registers(spark, d):
-    return ll.hll_build(I.spread_flows(spark, d), net.flow_key()).table
+    return ll.hll_build(I.flows(spark, d), net.flow_key()).table
 
 
 @query
 def hll_count(spark, d):
-    return ll.hll_count(ll.hll_build(I.spread_flows(spark, d), net.flow_key()))
+    return ll.hll_count(ll.hll_build(I.flows(spark, d), net.flow_key()))
 
 
 @query
 def hll_count_volume(spark, d):
-    return ll.hll_count(ll.hll_build(I.volume_flows(spark, d, wide=True), net.flow_key()))
+    return ll.hll_count(ll.hll_build(I.volume_flows(spark, d), net.flow_key()))
 
 
 @query
 def hll_count_b(spark, d):
-    return ll.hll_count(ll.hll_build(I.spread_flows(spark, d), net.flow_id(), HllSpec(12, "B")))
+    return ll.hll_count(ll.hll_build(I.flows(spark, d), net.flow_id(), HllSpec(12, "B")))
 
 
 @query
 def hll_merge(spark, d):
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     part = lambda cond: ll.hll_build(f.where(cond), net.flow_key())
     return ll.hll_count(ll.hll_merge(part("user_id % 3 = 0"), part("user_id % 3 <> 0")))
 
 
 @query
 def cardinalities(spark, d):
-    return ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d)))
+    return ll.cardinalities(ll.dimension_registers(I.flows(spark, d)))
 
 
 @query
 def diversity_score(spark, d):
-    return ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d))))
+    return ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.flows(spark, d))))
 
 
 @query
 def cardinality_unpivot(spark, d):
-    return ll.cardinality_rows(ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.spread_flows(spark, d)))))
+    return ll.cardinality_rows(ll.diversity_score(ll.cardinalities(ll.dimension_registers(I.flows(spark, d)))))
 
 
 @query
 def batch_diversity(spark, d):
-    return ll.batch_diversity(I.with_ids(I.spread_flows(spark, d)))
+    return ll.batch_diversity(I.with_ids(I.flows(spark, d)))
 
 
 @query
 def approx_unique_flows(spark, d):
-    return ll.approx_unique_flows(I.spread_flows(spark, d))
+    rows = ll.approx_unique_flows(I.flows(spark, d))
+    near = lambda c: (F.abs(F.col(c) - F.col("exact")) <= 0.05 * F.col("exact")).alias(f"{c}_near")
+    return rows.select("exact", near("approx_flows"), near("datasketch_flows"))
 
 
 @query
 def sketch_memory(spark, d):
-    return ll.sketch_memory(I.spread_flows(spark, d))
+    return ll.sketch_memory(I.flows(spark, d))
 
 
 @query
 def sketch_roundtrip(spark, d):
     """Both sketch kinds written, read back and queried."""
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     path = shared_folder(spark, "sketches")
     cm.save_cms(_cms(spark, d), path, "bytes")
     ll.save_registers(ll.hll_build(f, net.flow_key()), path, "flows")
@@ -312,12 +314,12 @@ def port_scanners(spark, d):
 
 @query
 def port_scanners_hll(spark, d):
-    return detect.port_scanners_hll(I.spread_flows(spark, d), 20)
+    return detect.port_scanners_hll(I.flows(spark, d), 20)
 
 
 @query
 def port_scanners_volume(spark, d):
-    return detect.port_scanners(I.volume_flows(spark, d, wide=True))
+    return detect.port_scanners(I.volume_flows(spark, d))
 
 
 @query
@@ -327,7 +329,7 @@ def popular_services(spark, d):
 
 @query
 def popular_services_hll(spark, d):
-    return detect.popular_services_hll(I.spread_flows(spark, d))
+    return detect.popular_services_hll(I.flows(spark, d))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------
@@ -338,25 +340,18 @@ def src_flow_batches(spark, d):
     """Flow-batch files written as JSON lines and read back; copies are kept."""
     path = shared_folder(spark, "flow-batches")
     I.flow_documents(spark, d).write.text(path)
-    return flow_batches.read_flow_batches(spark, path)
+    return flow_batches.explode_batches(flow_batches.read_flow_batches(spark, path))
 
 
 @query
 def dedup_batches(spark, d):
-    rows = flow_batches.parse_flow_batches(I.flow_documents(spark, d))
-    return flow_batches.dedup_batches(rows).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
-
-
-def _stored(spark, df, name):
-    """The input as the operator meets it in practice: a stored table rather than an expression to be recomputed."""
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    docs = flow_batches.dedup_batches(flow_batches.parse_flow_batches(I.flow_documents(spark, d)))
+    return flow_batches.explode_batches(docs).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
 
 
 @query
 def src_counter_snapshots(spark, d):
-    return snapshots.decode_counter_dumps(_stored(spark, I.counter_dumps(spark, d), "dumps"))
+    return snapshots.decode_counter_dumps(I.counter_dumps(spark, d))
 
 
 @query
@@ -369,17 +364,17 @@ def src_telemetry(spark, d):
 
 @query
 def decode_frames(spark, d):
-    return frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames"))
+    return frame_source.decode_frames(I.frames(spark, d))
 
 
 @query
 def decode_frames_v6(spark, d):
-    return frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames"), "v4v6_tcpudp")
+    return frame_source.decode_frames(I.frames(spark, d), "v4v6_tcpudp")
 
 
 @query
 def packet_rollup(spark, d):
-    return rollup.packet_rollup(frame_source.decode_frames(_stored(spark, I.frames(spark, d), "frames")))
+    return rollup.packet_rollup(frame_source.decode_frames(I.frames(spark, d)))
 
 
 def _peer_docs(spark, d):
@@ -418,7 +413,7 @@ def top_flows_across_peers(spark, d):
 
 @query
 def ddos_victims(spark, d):
-    return peers.ddos_victims(summaries.heavy_hitter_rows(_peer_docs(spark, d)), 2)
+    return peers.ddos_victims(summaries.heavy_hitter_rows(_peer_docs(spark, d)), 3)
 
 
 # --- expressions ------------------------------------------------------------------------------------------------
@@ -426,7 +421,7 @@ def ddos_victims(spark, d):
 
 @query
 def anonymize_ips(spark, d):
-    f = I.spread_flows(spark, d)
+    f = I.flows(spark, d)
     hide = lambda c: net.anonymize_ip(F.col(c), HMAC_KEY).alias(c)
     return f.select("event_id", hide("src_ip"), hide("dst_ip"), "bytes")
 
@@ -556,7 +551,7 @@ def metric_series(spark, d):
 
 @query
 def metric_rate_1m(spark, d):
-    return series.metric_rate(I.counter_samples(spark, d, ["throughput_bytes", "protocol_bytes"]), 60)
+    return series.metric_rate(I.counter_samples(spark, d), 60)
 
 
 @query
@@ -630,7 +625,14 @@ def policy_drops_total(spark, d):
 
 @query
 def active_rules(spark, d):
-    return policy.active_rules(_rules(spark, d), "2024-01-20 12:00:00")
+    """Rules in force when the newest block rule was an hour from its end, and at its very end."""
+    rules = _rules(spark, d)
+    newest = rules.where("expiry IS NOT NULL").agg(F.max(F.struct("expiry", "ts")).alias("r")).first().r
+    if newest is None:
+        return policy.active_rules(rules, I.ASOF).select(F.lit("").alias("moment"), "*")
+    asof = {"start": newest.ts, "end": newest.expiry}
+    parts = [policy.active_rules(rules, v).select(F.lit(k).alias("moment"), "*") for k, v in asof.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- documents and scenarios ------------------------------------------------------------------------------------
@@ -638,7 +640,7 @@ def active_rules(spark, d):
 
 @query
 def summary_document(spark, d):
-    return report.summary_document(I.spread_flows(spark, d), I.ASOF, private=False)
+    return report.summary_document(I.flows(spark, d), I.ASOF, private=False)
 
 
 @query
@@ -654,13 +656,7 @@ def agent_payload(spark, d):
 
 @query
 def push_document(spark, d):
-    docs = report.push_document(I.payloads(spark, d), _prefixes(spark, d))
-    get = lambda path: F.get_json_object("document", path)
-    return docs.select(
-        "part", F.coalesce(get("$.agent_ip"), get("$.heavy_hitters[0].prefix")).alias("name"),
-        F.coalesce(get("$.total_bytes_delta"), get("$.heavy_hitters[0].bytes")).cast("bigint").alias("bytes"),
-        get("$.hll.summary.cardinalities.unique_flows").cast("bigint").alias("unique_flows"),
-    )
+    return report.push_document(I.payloads(spark, d), _prefixes(spark, d))
 
 
 @query
@@ -685,8 +681,8 @@ def _event_stream(spark, d):
 @query
 def stream_flow_windows(spark, d):
     folder = shared_folder(spark, "flow-windows")
-    sinks.run_available(st.flow_windows(_event_stream(spark, d)), folder, "append")
-    return sinks.read_all(spark, folder)
+    sinks.run_available(st.flow_windows(_event_stream(spark, d)), folder, "update")
+    return sinks.read_latest(spark, folder, ["window_start", "window_end", "agent_id", *rollup.FIVE_TUPLE])
 
 
 @query
@@ -750,14 +746,13 @@ def stream_policy(spark, d):
 
 @query
 def stream_dedup(spark, d):
-    folder = shared_folder(spark, "dedup")
-    events = _event_stream(spark, d)
-    twice = events.withColumn("at", F.col("ts").cast("timestamp")).select(
-        F.col("agent_id").alias("agent"), F.col("event_id").alias("batch_ts"), "at",
-        F.explode(F.when(F.col("event_id") % 5 == 0, F.array("bytes", "bytes")).otherwise(F.array("bytes"))).alias("bytes"),
-    )
-    sinks.run_available(st.new_batches(twice, "at"), folder, "append")
-    return sinks.read_all(spark, folder).select("agent", "batch_ts", "bytes")
+    """Documents arrive in several files, some twice; whole documents are dropped, then flows exploded."""
+    folder, source = shared_folder(spark, "dedup"), shared_folder(spark, "flow-documents")
+    I.flow_documents(spark, d).repartition(3, "value").write.text(source)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(source)
+    docs = flow_batches.parse_flow_batches(lines).withColumn("at", F.timestamp_seconds(F.col("timestamp") + 86400))
+    sinks.run_available(flow_batches.explode_batches(st.new_batches(docs, "at", late="30 days")), folder, "append")
+    return sinks.read_all(spark, folder).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
 
 
 @query

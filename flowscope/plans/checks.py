@@ -191,7 +191,7 @@ def step_rates_sql(metric: str, seconds: int, step: int) -> str:
     unit = step * 1_000_000
     return (f"SELECT metric, label, make_timestamp(us) AS step_ts, sum(inc) / {float(seconds)!r} AS rate FROM "
             f"(SELECT metric, label, inc, CAST(ceil(epoch_us(ts) / {float(unit)!r}) AS BIGINT) * {unit} + i * {unit} AS us "
-            f"FROM counter_steps, range({seconds // step}) AS t(i) WHERE metric = '{metric}' AND inc > 0) AS e GROUP BY 1, 2, 3")
+            f"FROM counter_steps, range({seconds // step}) AS t(i) WHERE metric = '{metric}' ) AS e GROUP BY 1, 2, 3")
 
 
 cte("rules", "SELECT *, ts + to_seconds(ttl_s) AS expiry FROM (SELECT ts, seq, action, ip, CASE WHEN action = 'block' THEN "
@@ -202,9 +202,8 @@ cte("applied", "SELECT f.event_id, f.ts, f.src_ip, f.bytes, coalesce(r.action =
                "FROM flows AS f ASOF LEFT JOIN rules AS r ON f.src_ip = r.ip AND f.ts >= r.ts")
 cte("samples", f"SELECT {I.SCENARIO} AS scenario, CASE WHEN event_id % 4 = 3 OR floor(event_id / 4) % 2 = 0 THEN 'gbps' ELSE 'cpu' "
                "END AS metric, CAST(floor(event_id / 4) AS BIGINT) AS idx, k + 0.5 AS value FROM flows")
-_OLD, _NEW = (f"TIMESTAMP '{c}'" for c in I.PEER_CUTS)
-cte("peer_flows", f"SELECT {I.PEER} AS peer, CASE WHEN {I.PEER} = 'peer5' THEN {_OLD} ELSE {_NEW} END AS file_ts, * FROM keyed "
-                  f"WHERE {I.PEER} <> 'peer5' OR ts < {_OLD}")
+_NEW = f"TIMESTAMP '{I.PEER_CUTS[1]}'"
+cte("peer_flows", f"SELECT {I.PEER} AS peer, {_NEW} AS file_ts, * FROM keyed")
 cte("peer_hitters", "SELECT peer AS detected_by, flow, bytes FROM (SELECT peer, flow, sum(bytes) AS bytes FROM peer_flows GROUP BY ALL) AS s "
                     "QUALIFY row_number() OVER (PARTITION BY peer ORDER BY bytes DESC, flow) <= 20")
 cte("peer_scanners", "SELECT peer AS origin_peer, src_ip AS ip, count(DISTINCT dst_port) AS unique_ports FROM peer_flows GROUP BY ALL "
@@ -315,6 +314,9 @@ check("sketch_roundtrip", "item:s value:l",
       "SELECT 'cms row ' || i AS item, sum(bytes) AS value FROM flows, range(5) AS t(i) GROUP BY 1 UNION ALL "
       f"SELECT 'hll flows', estimate FROM ({_FLOW_COUNT}) AS c")
 
+check("approx_unique_flows", "exact:l approx_flows_near:b datasketch_flows_near:b",
+      "SELECT count(*) AS exact, true AS approx_flows_near, true AS datasketch_flows_near FROM distinct_flows")
+
 # --- detectors --------------------------------------------------------------------------------------------------
 
 check("port_scanners", "src_ip:s unique_ports:l",
@@ -332,14 +334,15 @@ check("popular_services_hll", "dst_port:l unique_clients:l",
 
 # --- sources ----------------------------------------------------------------------------------------------------
 
-cte("good_docs", "SELECT * FROM flows WHERE event_id % 20 <> 3 AND event_id % 10 <> 7")
+cte("good_docs", f"SELECT * FROM (SELECT *, CAST(floor(event_id / {I.BATCH_EVENTS}) AS BIGINT) AS batch FROM flows) AS b "
+                 "WHERE batch % 20 <> 3 AND batch % 10 <> 7")
 check("src_flow_batches", "agent:s batch_ts:l " + _FIVE + " packets:l bytes:l first_seen:t last_seen:t",
-      f"SELECT agent_id AS agent, event_id AS batch_ts, {FIVE}, packets, bytes, date_trunc('second', ts) AS first_seen, "
+      f"SELECT agent_id AS agent, batch AS batch_ts, {FIVE}, packets, bytes, date_trunc('second', ts) AS first_seen, "
       "date_trunc('second', ts) + to_seconds(packets) AS last_seen FROM "
-      "(SELECT * FROM good_docs UNION ALL SELECT * FROM good_docs WHERE event_id % 50 = 1) AS g")
+      "(SELECT * FROM good_docs UNION ALL SELECT * FROM good_docs WHERE batch % 50 = 1) AS g")
 check("dedup_batches", "agent:s batch_ts:l src_ip:s dst_ip:s bytes:l",
-      "SELECT agent_id AS agent, event_id AS batch_ts, src_ip, dst_ip, bytes FROM good_docs")
-check("stream_dedup", "agent:s batch_ts:l bytes:l", "SELECT agent_id AS agent, event_id AS batch_ts, bytes FROM flows")
+      "SELECT agent_id AS agent, batch AS batch_ts, src_ip, dst_ip, bytes FROM good_docs")
+CHECKS["stream_dedup"] = CHECKS["dedup_batches"]
 check("src_counter_snapshots", "agent_id:s poll_id:l " + _FIVE + " total_bytes:l total_packets:l",
       f"SELECT agent_id, poll_id, {FIVE}, CASE WHEN total_bytes % 11 = 0 THEN 0 ELSE total_bytes END AS total_bytes, "
       "CASE WHEN total_bytes % 11 = 0 THEN 0 ELSE total_packets END AS total_packets FROM snaps")
@@ -375,7 +378,7 @@ check("top_flows_across_peers", "flow:s bytes:l detected_by:s",
       "SELECT flow, bytes, detected_by FROM peer_hitters ORDER BY bytes DESC, flow, detected_by LIMIT 10")
 check("ddos_victims", "victim:s attackers_count:l attacker:s",
       "SELECT victim, count(*) OVER (PARTITION BY victim) AS attackers_count, attacker FROM (SELECT DISTINCT split_part(split_part(flow, '->', 2), ':', 1) "
-      "AS victim, split_part(flow, ':', 1) AS attacker FROM peer_hitters) AS p QUALIFY attackers_count >= 2")
+      "AS victim, split_part(flow, ':', 1) AS attacker FROM peer_hitters) AS p QUALIFY attackers_count >= 3")
 
 # --- expressions ------------------------------------------------------------------------------------------------
 
@@ -461,7 +464,7 @@ def _rate(seconds: int, where: str) -> str:
             f"{seconds * 1_000_000 - 1} MICROSECONDS PRECEDING AND CURRENT ROW) / {float(seconds)!r} AS rate FROM counter_steps WHERE {where}")
 
 
-check("metric_rate_1m", "metric:s label:s ts:t value:l rate:d", _rate(60, "metric IN ('throughput_bytes', 'protocol_bytes')"))
+check("metric_rate_1m", "metric:s label:s ts:t value:l rate:d", _rate(60, "true"))
 check("metric_rate_1h", "metric:s label:s ts:t value:l rate:d", _rate(3600, "true"))
 _TOPK = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step_ts ORDER BY rate DESC, label) AS rank FROM ({0}) AS r) AS k WHERE rank <= {1}"
 check("topk_dest_rate", "metric:s label:s step_ts:t rate:d rank:l", _TOPK.format(step_rates_sql("dest_bytes", 3600, 900), 5))
@@ -485,9 +488,10 @@ check("stream_policy", "event_id:l dropped:b", "SELECT event_id, dropped FROM ap
 check("policy_dropped", "event_id:l ts:t src_ip:s bytes:l", "SELECT event_id, ts, src_ip, bytes FROM applied WHERE dropped")
 check("policy_passed", "event_id:l ts:t src_ip:s bytes:l", "SELECT event_id, ts, src_ip, bytes FROM applied WHERE NOT dropped")
 check("policy_drops_total", "drops_total:l", "SELECT count(*) FILTER (WHERE dropped) AS drops_total FROM applied")
-check("active_rules", "match:s ip:s expires_in_s:d",
-      "SELECT 'src_ip' AS match, ip, round_even(left_us / 1e6, 1) AS expires_in_s FROM (SELECT ip, epoch_us(arg_max(coalesce(expiry, TIMESTAMP '1970-01-01'), "
-      "(ts, seq))) - epoch_us(TIMESTAMP '2024-01-20 12:00:00') AS left_us FROM rules WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1) AS r WHERE left_us > 0")
+check("active_rules", "moment:s match:s ip:s expires_in_s:d", " UNION ALL ".join(
+    f"SELECT '{at}' AS moment, 'src_ip' AS match, ip, round_even(left_us / 1e6, 1) AS expires_in_s FROM (SELECT ip, epoch_us(arg_max(coalesce(expiry, TIMESTAMP "
+    f"'1970-01-01'), (ts, seq))) - epoch_us(any_value(now)) AS left_us FROM rules, (SELECT arg_max({col}, (expiry, ts)) AS now FROM rules WHERE expiry IS NOT NULL) AS n "
+    "WHERE ts <= now GROUP BY 1) AS r WHERE left_us > 0" for at, col in (("start", "ts"), ("end", "expiry"))))
 
 # --- documents and scenarios ------------------------------------------------------------------------------------
 
@@ -496,9 +500,16 @@ check("agent_payload", "agent_id:s poll_id:l agent_cpu:d flows_processed:l total
       "unique_dst_ports:l unique_flows:l diversity_score:d heavy_flows:s",
       "SELECT *, unique_flows / greatest(1, flows_processed) AS diversity_score, coalesce(hf, '') AS heavy_flows FROM payload_rows LEFT JOIN "
       f"(SELECT agent_id, poll_id, string_agg({_TEXT}, ' ' ORDER BY rank) AS hf FROM batch_top GROUP BY ALL) AS h USING (agent_id, poll_id)")
-check("push_document", "part:s name:s bytes:l unique_flows:l",
-      "SELECT 'payload' AS part, agent_id AS name, coalesce(d, 0) AS bytes, unique_flows FROM payload_rows LEFT JOIN (SELECT agent_id, poll_id, "
-      "sum(bytes) AS d FROM batch_top GROUP BY ALL) AS t USING (agent_id, poll_id) UNION ALL SELECT 'prefix', prefix, bytes, NULL FROM prefixes")
+_HIT = ("'{\"src_ip\":\"' || src_ip || '\",\"dst_ip\":\"' || dst_ip || '\",\"src_port\":' || src_port || ',\"dst_port\":' || dst_port || "
+        "',\"proto\":\"' || proto || '\",\"bytes\":' || bytes || '}'")
+check("push_document", "part:s document:s",
+      "SELECT 'payload' AS part, '{\"agent_ip\":\"' || p.agent_id || '\",\"agent_cpu\":' || printf('%.1f', CAST(agent_cpu AS DOUBLE)) || ',\"total_bytes_delta\":' || coalesce(d, 0) || "
+      "',\"cms\":{\"summary\":{\"type\":\"count_min_sketch\",\"total_bytes\":' || total_bytes || ',\"total_packets\":' || total_packets || "
+      "',\"dimensions\":{\"width\":2048,\"depth\":5}},\"heavy_hitters_bytes\":[' || coalesce(h, '') || ']},\"hll\":{\"summary\":{\"type\":\"hyperloglog\",\"cardinalities\":{' || "
+      + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in ("unique_src_ips", "unique_src_ports", "unique_dst_ports", "unique_flows")) +
+      " || '},\"diversity_score\":' || CAST(unique_flows / greatest(1, flows_processed) AS DOUBLE) || '}}}' AS document FROM payload_rows AS p LEFT JOIN "
+      f"(SELECT agent_id, poll_id, sum(bytes) AS d, string_agg({_HIT}, ',' ORDER BY rank) AS h FROM batch_top GROUP BY ALL) AS t USING (agent_id, poll_id) "
+      "UNION ALL SELECT 'prefix', '{\"heavy_hitters\":[{\"prefix\":\"' || prefix || '\",\"parent\":\"' || parent || '\",\"bytes\":' || bytes || '}]}' FROM prefixes")
 cte("summary_top", f"SELECT flow, estimate FROM ({estimate_sql('metric_cells', 'distinct_flows', 'flow', where=repr('bytes') + ' = metric')}) AS e "
                    "ORDER BY estimate DESC, flow LIMIT 20")
 check("summary_document", "part:s document:s",
@@ -521,7 +532,7 @@ check("scenario_compare", "scenario:s cpu_avg:d cpu_max:d throughput_gbps:d loss
 check("stream_flow_windows", "window_start:t window_end:t agent_id:s " + _FIVE + " bytes:l packets:l first_seen:t last_seen:t",
       f"SELECT w AS window_start, w + INTERVAL '30 seconds' AS window_end, agent_id, {FIVE}, sum(bytes) AS bytes, sum(packets) AS packets, "
       "min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT *, time_bucket(INTERVAL '30 seconds', ts) AS w FROM flows) AS f "
-      f"WHERE w + INTERVAL '30 seconds' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM flows) GROUP BY w, agent_id, {FIVE}")
+      f"GROUP BY w, agent_id, {FIVE}")
 check("stream_sketches", "sketch:s row_i:l col_j:l value:l",
       "SELECT 'cms' AS sketch, row_i, col_j, cnt AS value FROM flow_cells UNION ALL "
       f"SELECT 'hll', 0, register, rho FROM ({registers_sql('keyed', 'flow', A14)}) AS r")

@@ -79,15 +79,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer tasks than the session has cores, before hash-heavy work.
-
-    Only small or coarsely written tables are affected: at scale a scan has far more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def event_flows(events: DataFrame) -> DataFrame:
     return events.selectExpr(*columns(EVENT_FLOWS, SPARK_DIALECT))
 
@@ -96,14 +87,8 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_flows(table(spark, sf_dir, "events"))
 
 
-def spread_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows for hash-heavy queries."""
-    return event_flows(spread(table(spark, sf_dir, "events")))
-
-
-def volume_flows(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return (spread(lines) if wide else lines).selectExpr(*columns(LINEITEM_FLOWS, SPARK_DIALECT))
+def volume_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*columns(LINEITEM_FLOWS, SPARK_DIALECT))
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -157,11 +142,11 @@ def _ip_hex(ip):
 
 
 def counter_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots as encoded dump text.
+    """Snapshots as encoded dump text, one dump per agent and poll (a dump is a bounded kernel map).
 
     A short key is added to every seventh entry and the value of every eleventh is cut (by total bytes).
     """
-    s = snapshots(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    s = snapshots(spark, sf_dir)
     proto = F.when(F.col("proto") == "UDP", F.lit(17)).otherwise(F.lit(6))
     key = F.concat(
         _ip_hex(F.col("src_ip")), _ip_hex(F.col("dst_ip")), _le_hex(F.col("src_port"), 2), _le_hex(F.col("dst_port"), 2),
@@ -171,32 +156,37 @@ def counter_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     value_text = F.when(F.col("total_bytes") % 11 == 0, _hex_list(value, 15)).otherwise(_hex_list(value, 16))
     entry = F.concat(F.lit('{"key":'), _hex_list(key, 16), F.lit(',"value":'), value_text, F.lit("}"))
     short = F.when(F.col("total_bytes") % 7 == 0, F.lit(',{"key":["0x0a","0x00"],"value":["0x01"]}')).otherwise(F.lit(""))
-    return s.select("agent_id", "poll_id", F.concat(F.lit("["), entry, short, F.lit("]")).alias("dump"))
+    entries = s.select("agent_id", "poll_id", F.concat(entry, short).alias("entry"))
+    listed = F.array_join(F.sort_array(F.collect_list("entry")), ",")
+    return entries.groupBy("agent_id", "poll_id").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("dump"))
+
+
+BATCH_EVENTS = 40
 
 
 def flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow-batch documents as JSON lines in ``value``, one per event.
+    """Flow-batch documents as JSON lines in ``value``: the flows of one agent in a batch of forty events.
 
-    Every twentieth document (event_id % 20 = 3) is cut short, every tenth (% 10 = 7) has no flows, and every
+    Of the batch numbers every twentieth (% 20 = 3) is cut short, every tenth (% 10 = 7) has no flows, and every
     fiftieth (% 50 = 1) is exported twice.
     """
-    f = spread_flows(spark, sf_dir)
+    f = flows(spark, sf_dir).withColumn("batch", F.floor(F.col("event_id") / BATCH_EVENTS).cast("bigint"))
     us = F.unix_seconds(F.col("ts").cast("timestamp"))
     record = F.struct(
-        "src_ip", "dst_ip", "src_port", "dst_port", F.col("proto").alias("protocol"),
+        "event_id", "src_ip", "dst_ip", "src_port", "dst_port", F.col("proto").alias("protocol"),
         F.col("packets").alias("packet_count"), F.col("bytes").alias("byte_count"),
         us.alias("first_seen"), (us + F.col("packets")).alias("last_seen"),
     )
-    none = F.array().cast("array<struct<src_ip:string,dst_ip:string,src_port:int,dst_port:int,protocol:string,"
-                              "packet_count:bigint,byte_count:bigint,first_seen:bigint,last_seen:bigint>>")
-    listed = F.when(F.col("event_id") % 10 == 7, none).otherwise(F.array(record))
+    grouped = f.groupBy("agent_id", "batch").agg(F.sort_array(F.collect_list(record)).alias("records"))
+    every = F.transform("records", lambda r: r.dropFields("event_id"))
+    listed = F.when(F.col("batch") % 10 == 7, F.slice(every, 1, 0)).otherwise(every)
     text = F.to_json(
-        F.struct(F.col("agent_id").alias("agent"), F.col("event_id").alias("timestamp"),
+        F.struct(F.col("agent_id").alias("agent"), F.col("batch").alias("timestamp"),
                  F.size(listed).alias("flow_count"), listed.alias("flows"))
     )
-    text = F.when(F.col("event_id") % 20 == 3, F.substring(text, 1, 40)).otherwise(text)
-    copies = F.when(F.col("event_id") % 50 == 1, F.array(text, text)).otherwise(F.array(text))
-    return f.select(F.explode(copies).alias("value"))
+    text = F.when(F.col("batch") % 20 == 3, F.substring(text, 1, 40)).otherwise(text)
+    copies = F.when(F.col("batch") % 50 == 1, F.array(text, text)).otherwise(F.array(text))
+    return grouped.select(F.explode(copies).alias("value"))
 
 
 def poll_cpu(f: DataFrame) -> DataFrame:
@@ -222,14 +212,13 @@ def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peer summary documents ``peer, file_ts, value``: two files per peer, peer5 only the older one."""
+    """Peer summary documents ``peer, file_ts, value``: two files per peer."""
     f = flows(spark, sf_dir).withColumn("peer", F.expr(PEER))
     older, newer = [F.lit(c).cast("timestamp_ntz") for c in PEER_CUTS]
     cut = f.withColumn(
         "file_ts",
         F.explode(
-            F.when(F.col("peer") == "peer5", F.when(F.col("ts") < older, F.array(older)).otherwise(F.array()))
-            .otherwise(F.when(F.col("ts") < older, F.array(older, newer)).otherwise(F.array(newer)))
+            F.when(F.col("ts") < older, F.array(older, newer)).otherwise(F.array(newer))
         ),
     )
     by = ["peer", "file_ts"]
@@ -277,7 +266,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     By event_id % 12: 0 a 24-byte IP header, 1 a cut transport header, 2 ICMP, 3 IPv6, 4 ARP, 5 a header length
     below 20 (inadmissible), otherwise plain TCP or UDP.
     """
-    f = spread_flows(spark, sf_dir)
+    f = flows(spark, sf_dir)
     kind = F.col("event_id") % 12
     ports = F.concat(_be_hex(F.col("src_port"), 2), _be_hex(F.col("dst_port"), 2))
     number = F.when(kind == 2, F.lit(1)).when(F.col("proto") == "UDP", F.lit(17)).otherwise(F.lit(6))
@@ -301,7 +290,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocklist events from part of the event types; some are inadmissible on purpose."""
+    """Blocklist events from every error (block) and signup (unblock); some are inadmissible on purpose."""
     f = flows(spark, sf_dir)
     chosen = f.where(POLICY_CHOICE)
     return chosen.selectExpr(*POLICY_EVENTS)
@@ -315,7 +304,7 @@ POLICY_EVENTS = [
     "CASE WHEN event_id % 11 = 0 THEN '10.0.0.256' ELSE src_ip END AS ip",
     "CASE WHEN event_id % 3 <> 0 THEN k * 600 END AS ttl_s",
 ]
-POLICY_CHOICE = "(event_type = 'error' AND event_id % 5 = 0) OR (event_type = 'signup' AND event_id % 7 = 0)"
+POLICY_CHOICE = "event_type IN ('error', 'signup')"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Flow-batch documents ``{timestamp, flow_count, flows: [...]}`` -> one row per flow record."""
+"""Flow-batch documents ``{timestamp, flow_count, flows: [...]}`` -> one row per flow record.
+
+Readers return whole documents: copies of a document are dropped before its flows are exploded, never after.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +16,13 @@ def read_flow_batches(spark: SparkSession, path: str, multi_line: bool = False)
 
     One document per line is the splittable default; ``multi_line`` reads one pretty-printed document per file.
     """
-    docs = (
-        spark.read.schema(FLOW_BATCH).option("mode", "DROPMALFORMED").option("multiLine", multi_line).json(path)
-    )
-    return explode_batches(docs)
+    return spark.read.schema(FLOW_BATCH).option("mode", "DROPMALFORMED").option("multiLine", multi_line).json(path)
 
 
 def parse_flow_batches(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """The same from a text column; passes the other columns through."""
     others = [c for c in lines.columns if c != text_col]
-    docs = lines.withColumn("_d", F.from_json(F.col(text_col), FLOW_BATCH)).select(*others, "_d.*")
-    return explode_batches(docs)
+    return lines.withColumn("_d", F.from_json(F.col(text_col), FLOW_BATCH)).select(*others, "_d.*")
 
 
 def explode_batches(docs: DataFrame) -> DataFrame:
@@ -44,8 +43,8 @@ def explode_batches(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_batches(docs: DataFrame, keys=("agent", "batch_ts"), order: Column | None = None) -> DataFrame:
-    """Keep one document per batch key.
+def dedup_batches(docs: DataFrame, keys=("agent", "timestamp"), order: Column | None = None) -> DataFrame:
+    """Keep one document per batch key, with all of its flows.
 
     With ``order`` the survivor is the smallest by it (a max_by/min_by aggregate, partial before the shuffle);
     without it any copy may survive, which is right when copies are identical.

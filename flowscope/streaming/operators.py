@@ -20,9 +20,11 @@ from flowscope.operators.sliced import micros
 
 
 def flow_windows(flows: DataFrame, every: str = "30 seconds", late: str = "10 minutes", by=("agent_id",)) -> DataFrame:
-    """Per-agent flow rollup of every time window, emitted once when the watermark closes it (append mode).
+    """Per-agent flow rollup of every time window, aligned to the epoch.
 
-    Windows are aligned to the epoch.
+    In append mode a window is emitted once, when the watermark closes it.  In update mode its newest state is emitted
+    with every micro-batch, so the windows that are still open when the stream stops are there too; the watermark
+    still drops their state in time.
     """
     timed = flows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rolled = timed.groupBy(F.window("ts", every).alias("w"), *by, *FIVE_TUPLE).agg(
@@ -85,8 +87,8 @@ def counters(flows: DataFrame) -> DataFrame:
     return counter_rows(usable).groupBy("metric", "label").agg(F.sum("bytes").cast("bigint").alias("value"))
 
 
-def new_batches(docs: DataFrame, ts: str, keys=("agent", "batch_ts"), late: str = "10 minutes") -> DataFrame:
-    """Drop batches already seen within the watermark."""
+def new_batches(docs: DataFrame, ts: str, keys=("agent", "timestamp"), late: str = "10 minutes") -> DataFrame:
+    """Drop documents already seen within the watermark, before their flows are exploded."""
     return docs.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 

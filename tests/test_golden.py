@@ -63,12 +63,14 @@ def test_count_min_example(three_flows):
     assert ll.sketch_memory(three_flows).first().cms_bytes == 245760
 
 
-def test_large_sketch_takes_the_join_path(three_flows, monkeypatch):
+def test_both_ways_of_a_point_query_agree(spark, three_flows):
     sketch = cm.cms_build(three_flows, net.flow_key(), "bytes", CmsSpec(64, 3))
     keys = three_flows.select(net.flow_key().alias("flow"))
-    near = rows(cm.cms_estimate(sketch, keys, "flow"), "flow", "estimate")
-    monkeypatch.setattr(cm, "BROADCAST_CELLS", 10)
-    assert rows(cm.cms_estimate(sketch, keys, "flow"), "flow", "estimate") == near
+    odd = spark.createDataFrame([(None,), (None,), ("missing",), ("",)], "flow string")
+    keys = keys.union(keys).union(odd)
+    near = sorted(map(repr, cm.cms_estimate(sketch, keys, "flow").select("flow", "estimate").collect()))
+    joined = sorted(map(repr, cm.cms_estimate(sketch, keys, "flow", dense=False).select("flow", "estimate").collect()))
+    assert joined == near and len(near) == keys.count()
 
 
 def test_sketch_invariants(scan):
@@ -233,10 +235,18 @@ def test_flow_batch_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n "timestamp": 7,\n "flow_count": 1,\n "flows": [' + flow + "]\n}\n")
     (tmp_path / "b.json").write_text('{"timestamp": 8, "flow_count": 0, "flows": []}')
     (tmp_path / "c.json").write_text('{"timestamp": 9, "flows": [')
-    got = flow_batches.read_flow_batches(spark, str(tmp_path), multi_line=True)
+    got = flow_batches.explode_batches(flow_batches.read_flow_batches(spark, str(tmp_path), multi_line=True))
     assert rows(got, "batch_ts", "src_ip", "packets", "bytes") == [(7, "1.1.1.1", 3, 4)]
 
 
+def test_documents_are_deduplicated_with_all_their_flows(spark):
+    flow = '{"src_ip":"1.1.1.%d","dst_ip":"2.2.2.2","src_port":1,"dst_port":2,"protocol":"TCP","packet_count":3,"byte_count":4}'
+    doc = '{"agent":"a","timestamp":7,"flow_count":3,"flows":[' + ",".join(flow % i for i in range(3)) + "]}"
+    docs = flow_batches.parse_flow_batches(spark.createDataFrame([(doc,), (doc,), (doc.replace(":7", ":8"),)], "value string"))
+    got = flow_batches.explode_batches(flow_batches.dedup_batches(docs))
+    assert rows(got, "batch_ts", "src_ip") == [(t, f"1.1.1.{i}") for t in (7, 8) for i in range(3)]
+
+
 def test_telemetry_defaults(spark):
     lines = ['{"agent_ip":"a","agent_cpu":10.5,"cms":{"heavy_hitters_bytes":[{"dst_ip":"10.0.0.1","bytes":5},{"bytes":3}]}}', "{}", '{"agent_ip":']
     payloads = telemetry.parse_telemetry(spark.createDataFrame([(x,) for x in lines], "value string"))
