@@ -40,18 +40,16 @@ PIVOTS = 16
 REPEATED = 3.0  # average copies of a set beyond which windows no longer pay
 LOW = np.uint64((1 << 40) - 1)
 
-NAME = np.dtype("V12")  # a set's digest
+NAME = np.dtype([("n", "<u4"), ("hash", "<u8")])  # a set: its size and 64 hash bits of its elements
 
 _BLOCKS = "part int, doc_id bigint, n int, digest binary, sets binary, count binary, low binary, high binary"
 _REPLIES = "bucket int, doc_id bigint, n int, digest binary, sets binary, count binary, ids binary, df binary"
-_SETS = "digest binary, ids binary, ordered binary"
+_SETS = "digest binary, n int, ids binary, prefix array<bigint>"
 
 
 def set_digest(sorted_hashes: np.ndarray) -> bytes:
-    """96 bits that name a set."""
-    one = np.add.reduce(mix(sorted_hashes), dtype=np.uint64)
-    two = np.add.reduce(mix(sorted_hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)
-    return np.array([one, two], np.uint64).tobytes()[: NAME.itemsize]
+    """The name of a set."""
+    return np.array([(len(sorted_hashes), np.add.reduce(mix(sorted_hashes), dtype=np.uint64))], NAME).tobytes()
 
 
 def _blob(column, dtype) -> list[np.ndarray]:
@@ -152,7 +150,7 @@ def count_sets(buckets: int):
         df = np.repeat(count, count)
         shared = df > 1
         ids, owner, df = ids[shared] | (part << 40), owner[shared], df[shared].astype(np.int32)
-        bucket = names.view(np.uint32).reshape(-1, 3)[:, 1] % buckets
+        bucket = (names["hash"] % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((owner, bucket[owner]))
         ids, owner, df = ids[by], owner[by], df[by]
         border = np.searchsorted(bucket[owner], np.arange(buckets + 1))
@@ -166,35 +164,26 @@ def count_sets(buckets: int):
     return run
 
 
-def _by_set(key, rows):
-    """Reducer of a bucket: each set's shared shingles, sorted, and also from rare to common."""
-    names, owner = _gather(rows)
-    ids, df = np.concatenate(_blob(rows["ids"], np.int64)), np.concatenate(_blob(rows["df"], np.int32))
-    order = np.lexsort((ids, df, owner))
-    ids, owner = ids[order], owner[order]
-    border = np.searchsorted(owner, np.arange(len(names) + 1))
-    out = []
-    for i in range(len(names)):
-        mine = ids[border[i] : border[i + 1]]
-        out.append((names[i].tobytes(), np.sort(mine).tobytes(), mine.tobytes()))
-    return _table(out, _arrow_schema(_SETS))
+def linkable_sets(percent: int):
+    """Reducer of a bucket: sets of which enough is shared, with the rare shingles of which a partner must have one."""
+    schema = _arrow_schema(_SETS)
 
-
-def _rare_shingles(percent: int):
-    """Mapper: keeps sets of which enough is shared, with the shingles of which a partner must have one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, prefix = [], []
-            for i, (n, ordered) in enumerate(zip(batch.column("n").to_pylist(), batch.column("ordered"), strict=True)):
-                mine = np.frombuffer(ordered.as_buffer(), np.int64)
-                spare = n - -(-percent * n // 100)  # shingles a set may have for itself
-                first = spare + 1 - (n - len(mine))
-                if first > 0:
-                    keep.append(i)
-                    prefix.append(mine[:first])
-            kept = batch.select(["id", "n", "ids"]).take(pa.array(keep, pa.int64()))
-            yield kept.append_column("prefix", pa.array(prefix, pa.list_(pa.int64())))
+    def run(key, rows):
+        names, owner = _gather(rows)
+        ids, df = np.concatenate(_blob(rows["ids"], np.int64)), np.concatenate(_blob(rows["df"], np.int32))
+        size = names["n"].astype(np.int64)
+        spare = size - -(-percent * size // 100)  # shingles a set may have for itself
+        first = spare + 1 - (size - np.bincount(owner, minlength=len(names)))
+        keep = (first > 0)[owner]
+        ids, df, owner = ids[keep], df[keep], owner[keep]
+        order = np.lexsort((ids, df, owner))
+        ids, owner = ids[order], owner[order]
+        border = np.searchsorted(owner, np.arange(len(names) + 1))
+        out = []
+        for i in np.flatnonzero(first > 0):
+            mine = ids[border[i] : border[i + 1]]
+            out.append((names[i].tobytes(), int(size[i]), np.sort(mine).tobytes(), mine[: first[i]]))
+        return _table(out, schema)
 
     return run
 
@@ -301,18 +290,18 @@ def _split_regions(large: DataFrame, percent: int, level: int) -> tuple[DataFram
     placed = materialize(placed, "jaccard-cells")
     links = placed.select(F.col("id").alias("a"), F.explode("links").alias("b"))
     copies = placed.groupBy("region").agg((F.sum(F.size("cells")) > REPEATED * F.count("*")).alias("blocks"))
-    sets = large.select("region", "id", "n", "ids", "star", "slices").join(placed, ["region", "id"]).join(copies, "region")
+    sets = large.select("region", "id", "n", "star", "slices").join(placed, ["region", "id"]).join(copies, "region")
     near = F.col("far") <= radius
     cells = sets.where("not blocks").select(
-        "region", "id", "n", "ids", "star", F.explode(F.arrays_zip("cells", "far")).alias("cell")
+        "region", "id", "n", "star", F.explode(F.arrays_zip("cells", "far")).alias("cell")
     ).select(
-        F.concat_ws("/", "region", F.col("cell.cells").cast("string")).alias("region"), "id", "n", "ids", "star",
+        F.concat_ws("/", "region", F.col("cell.cells").cast("string")).alias("region"), "id", "n", "star",
         F.col("cell.cells").alias("pivot"), F.col("cell.far").alias("far"),
     )
     outside = cells.groupBy("region").agg(F.min(F.when(~near, F.col("far"))).alias("edge"))
     # sets around the pivot are connected; without an outsider within reach they have nothing left to find
     cells = cells.join(outside, "region").where(~near | (F.col("far") >= F.col("edge") - radius - 1e-9))
-    cells = cells.select("region", "id", "n", "ids", F.when(near, F.col("pivot")).otherwise(F.col("star")).alias("star"),
+    cells = cells.select("region", "id", "n", F.when(near, F.col("pivot")).otherwise(F.col("star")).alias("star"),
                          F.lit(None).cast("int").alias("side"))
     # pairs of blocks: i < j joins across, i = j within
     i, j = F.col("pair.i"), F.col("pair.j")
@@ -322,7 +311,7 @@ def _split_regions(large: DataFrame, percent: int, level: int) -> tuple[DataFram
         lambda other: F.struct(F.least(other, F.col("mine")).alias("i"), F.greatest(other, F.col("mine")).alias("j")),
     )
     blocks = sets.where("blocks and size(cells) > 0").withColumn("mine", mine).withColumn("pair", F.explode(pairs)).select(
-        F.concat_ws("/", "region", i.cast("string"), F.concat(F.lit("x"), j.cast("string"))).alias("region"), "id", "n", "ids",
+        F.concat_ws("/", "region", i.cast("string"), F.concat(F.lit("x"), j.cast("string"))).alias("region"), "id", "n",
         "star", F.when(i != j, (F.col("mine") == j).cast("int")).alias("side"),
     )
     return links, cells.unionByName(blocks)
@@ -336,25 +325,34 @@ def _with_region(function):
     return run
 
 
-def region_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked inside each region of ``members`` (region, id, n, ids, star, side)."""
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of regions of two and more, with the number of slices that the region needs."""
+    size = members.groupBy("region").agg(
+        F.count("*").alias("size"), F.sum(F.col("n") * F.lit(8)).alias("bytes"), F.max(F.col("side").isNotNull()).alias("sided")
+    )
+    slices = F.greatest(F.ceil(F.col("size") / REGION_SETS), F.ceil(F.col("bytes") / REGION_BYTES)).cast("int")
+    # two blocks that were paired are small enough by their making
+    size = size.where("size > 1").select("region", F.when(F.col("sided"), 1).otherwise(slices).alias("slices"))
+    return members.join(size, "region")
+
+
+def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside each region.
+
+    ``members`` (region, id, n, star, side) name the sets of every region; the elements come from ``sets`` (id, ids)
+    only where a region is joined.
+    """
     found, level = None, 0
     while True:
-        size = members.groupBy("region").agg(
-            F.count("*").alias("size"), F.sum(F.length("ids")).alias("bytes"), F.max(F.col("side").isNotNull()).alias("sided")
-        )
-        slices = F.greatest(F.ceil(F.col("size") / REGION_SETS), F.ceil(F.col("bytes") / REGION_BYTES)).cast("int")
-        sized = members.join(size.withColumn("slices", slices), "region")
-        # two blocks that were paired are small enough by their making
-        small = sized.where("slices <= 1 or sided").where("size > 1").drop("size", "bytes", "slices", "sided")
+        sized = materialize(_sized(members), "jaccard-regions")
+        small = sized.where("slices <= 1").drop("slices").join(sets.select("id", "ids"), "id")
         links = small.groupBy("region").applyInArrow(_local_join(percent), "a bigint, b bigint")
         found = links if found is None else found.union(links)
-        large = sized.where("slices > 1 and not sided").drop("size", "bytes", "sided")
+        large = sized.where("slices > 1").drop("side")
         if large.limit(1).count() == 0:
             return found
-        more, members = _split_regions(large, percent, level)
+        more, members = _split_regions(large.join(sets.select("id", "ids"), "id"), percent, level)
         found = materialize(found.union(more), "jaccard-links")
-        members = materialize(members, "jaccard-regions")
         level += 1
 
 
@@ -367,12 +365,9 @@ def jaccard_sets(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: s
     blocks = rows.mapInArrow(shingle_blocks(shingle, width), _BLOCKS)
     replies = materialize(blocks.groupBy("part").applyInArrow(count_sets(width), _REPLIES), "jaccard-shingles")
     named = replies.where("bucket is null").select("doc_id", "n", "digest")
-    sets = replies.where("bucket is not null").groupBy("bucket").applyInArrow(_by_set, _SETS)
-    # as many shingles as a set must share; sets with fewer leave before they are joined
-    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
-    sets = sets.join(classes, "digest").where(F.length("ids") / 8 * 100 >= percent * F.col("n")).select("id", "n", "ids", "ordered")
-    sets = sets.mapInArrow(_rare_shingles(percent), "id bigint, n int, ids binary, prefix array<bigint>")
-    return named, materialize(sets, "jaccard-sets")
+    sets = replies.where("bucket is not null").groupBy("bucket").applyInArrow(linkable_sets(percent), _SETS)
+    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    return named, materialize(sets.join(classes, "digest").drop("digest"), "jaccard-sets")
 
 
 def jaccard_links(sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -380,11 +375,11 @@ def jaccard_links(sets: DataFrame, percent: int = 75) -> DataFrame:
     postings = sets.select("id", F.explode("prefix").alias("shingle"))
     pivots = postings.groupBy("shingle").agg(F.min("id").alias("pivot"), F.count("*").alias("sets")).where("sets > 1")
     met = postings.join(pivots, "shingle").select("id", "pivot").distinct()
-    members = met.join(sets.drop("prefix"), "id").select(
-        F.col("pivot").cast("string").alias("region"), "id", "n", "ids", F.lit(None).cast("bigint").alias("star"),
+    members = met.join(sets.select("id", "n"), "id").select(
+        F.col("pivot").cast("string").alias("region"), "id", "n", F.lit(None).cast("bigint").alias("star"),
         F.lit(None).cast("int").alias("side"),
     )
-    return region_links(materialize(members, "jaccard-members"), percent)
+    return region_links(members, sets, percent)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
