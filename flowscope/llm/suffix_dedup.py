@@ -100,7 +100,7 @@ class Runs:
         self.first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         self.last = np.append(self.first[1:], len(full)) - 1
         at = chosen[self.first]
-        self.gram = gram[at]
+        self.gram = mix(gram[at])  # chosen for being small: mixed again, so that parts are even
         shape = ((at - self.first) * window + (self.last - self.first)).astype(np.uint64)
         self.kind = mix(mix(full[self.first] + shape * ODD) + full[self.last])
 
