@@ -26,11 +26,11 @@ BASELINE_TICKS, BASELINE_MIN, BASELINE_Q = 120, 10, 0.95
 
 
 def counter_deltas(snapshots: DataFrame, keys=("agent_id", "src_ip", "dst_ip", "proto", "src_port", "dst_port"),
-                   poll="poll_id", keep=()) -> DataFrame:
+                   poll="poll_id", keep=(), positive: bool = True) -> DataFrame:
     """Traffic since the previous poll from cumulative counters.
 
     A key missing from poll n-1 starts from zero again, a decrease means a restart, and only keys with new bytes are
-    emitted.  Because only the adjacent poll matters, each key is cut into runs of polls whose last poll is copied
+    emitted (all of them unless ``positive``).  Because only the adjacent poll matters, each key is cut into runs of polls whose last poll is copied
     into the next run, so a long-lived key is not one window partition.
     """
     laid = with_lookback(snapshots, F.col(poll), POLL_SLICE, 1)
@@ -44,7 +44,8 @@ def counter_deltas(snapshots: DataFrame, keys=("agent_id", "src_ip", "dst_ip", "
     out = laid.select(
         *keys, poll, *keep, "_copied", delta("total_bytes").alias("bytes"), delta("total_packets").alias("packets")
     )
-    return out.where(~F.col("_copied") & (F.col("bytes") > 0)).drop("_copied")
+    shown = ~F.col("_copied") & (F.col("bytes") > 0) if positive else ~F.col("_copied")
+    return out.where(shown).drop("_copied")
 
 
 def _trailing_sum(col: str, ordered, span: int) -> Column:

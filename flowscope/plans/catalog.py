@@ -667,69 +667,72 @@ def scenario_compare(spark, d):
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
+FILES = 4
+
+
 def _stream(spark, d, name="events"):
+    """The table as a stream of several files, one per micro-batch; rows of a file are spread over the whole time."""
     sinks.use_rocksdb(spark)
-    schema = I.table(spark, d, name).schema
-    # A glob, because a table may be a single file and a plain stream path must be a folder.
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+    source = shared_folder(spark, f"stream-{name}")
+    rows = I.table(spark, d, name)
+    rows.repartition(FILES, F.col(rows.columns[0]) % FILES).write.parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
 def _event_stream(spark, d):
     return I.event_flows(_stream(spark, d))
 
 
+def _current(spark, stream, name, keys):
+    """The newest row of each key once the stream has run."""
+    folder = shared_folder(spark, name)
+    sinks.run_available(stream, folder, "update", keys=keys)
+    return sinks.read_latest(spark, folder, keys)
+
+
 @query
 def stream_flow_windows(spark, d):
-    folder = shared_folder(spark, "flow-windows")
-    sinks.run_available(st.flow_windows(_event_stream(spark, d)), folder, "update")
-    return sinks.read_latest(spark, folder, ["window_start", "window_end", "agent_id", *rollup.FIVE_TUPLE])
+    """Every window, those that are open at the end too; files are out of order, so lateness covers the table's span."""
+    windows = st.flow_windows(_event_stream(spark, d), late="40 days")
+    return _current(spark, windows, "flow-windows", ["window_start", "window_end", "agent_id", *rollup.FIVE_TUPLE])
 
 
 @query
 def stream_hhh(spark, d):
-    folder = shared_folder(spark, "hhh")
-    sinks.run_available(st.heavy_prefix_sums(_event_stream(spark, d), THRESHOLD), folder)
-    latest = sinks.read_latest(spark, folder, ["mask_len", "network"])
+    latest = _current(spark, st.heavy_prefix_sums(_event_stream(spark, d), THRESHOLD), "hhh", ["mask_len", "network"])
     return prefixes.name_prefixes(latest).drop("mask_len")
 
 
 @query
 def stream_sketches(spark, d):
+    """The three Count-Min sketches and the five cardinality sketches of everything seen so far."""
     f = _event_stream(spark, d)
-    cells_at, registers_at = shared_folder(spark, "cms"), shared_folder(spark, "hll")
-    sinks.run_available(st.sketch_cells(f, net.flow_key(), "bytes"), cells_at)
-    sinks.run_available(st.sketch_registers(f, net.flow_key()), registers_at)
-    cells = sinks.read_latest(spark, cells_at, ["row_i", "col_j"])
-    registers = sinks.read_latest(spark, registers_at, ["register"])
-    return cells.select(F.lit("cms").alias("sketch"), "row_i", "col_j", F.col("cnt").alias("value")).unionByName(
-        registers.select(F.lit("hll").alias("sketch"), F.lit(0).alias("row_i"), F.col("register").alias("col_j"),
+    cells = _current(spark, st.sketch_metric_cells(f), "cms", ["metric", "row_i", "col_j"])
+    registers = _current(spark, st.sketch_dimension_registers(f), "hll", ["dimension", "register"])
+    return cells.select(F.col("metric").alias("sketch"), "row_i", "col_j", F.col("cnt").alias("value")).unionByName(
+        registers.select(F.col("dimension").alias("sketch"), F.lit(0).alias("row_i"), F.col("register").alias("col_j"),
                          F.col("rho").cast("bigint").alias("value"))
     )
 
 
 @query
 def stream_rate(spark, d):
-    folder = shared_folder(spark, "rate")
     messages = _event_stream(spark, d).select(F.col("live_ts").alias("ts"), "bytes")
-    sinks.run_available(st.sliding_rate(messages), folder)
-    return sinks.read_latest(spark, folder, ["window_start", "window_end"])
+    return _current(spark, st.sliding_rate(messages, late="30 days"), "rate", ["window_start", "window_end"])
 
 
 @query
 def stream_agent_state(spark, d):
-    folder = shared_folder(spark, "agents")
     f = _event_stream(spark, d).select(
         "agent_id", F.struct("ts", "event_id").alias("at"), (F.col("k") + 0.5).cast("double").alias("cpu"), "bytes"
     )
-    sinks.run_available(st.agent_state(f, ts="at", values=("cpu", "bytes")), folder)
-    return sinks.read_latest(spark, folder, ["agent_id"]).select("agent_id", "cpu", "bytes", F.col("last_ts.ts").alias("last_ts"))
+    state = _current(spark, st.agent_state(f, ts="at", values=("cpu", "bytes")), "agents", ["agent_id"])
+    return state.select("agent_id", "cpu", "bytes", F.col("last_ts.ts").alias("last_ts"))
 
 
 @query
 def stream_counters(spark, d):
-    folder = shared_folder(spark, "counters")
-    sinks.run_available(st.counters(_event_stream(spark, d)), folder)
-    return sinks.read_latest(spark, folder, ["metric", "label"])
+    return _current(spark, st.counters(_event_stream(spark, d)), "counters", ["metric", "label"])
 
 
 @query
@@ -738,9 +741,9 @@ def stream_policy(spark, d):
     rules_at, out = shared_folder(spark, "rules"), shared_folder(spark, "policy")
     events = _event_stream(spark, d)
     rules = policy.normalize_policy_events(events.where(I.POLICY_CHOICE).selectExpr(*I.POLICY_EVENTS))
-    sinks.run_available(rules, rules_at, "append")
+    sinks.run_available(st.sliced_rules(rules), rules_at, "append", partition_by=["rule_slice"])
     traffic = events.select("event_id", "ts", "src_ip", "bytes")
-    sinks.run_available(traffic, out, "append", st.policy_batch(spark, f"{rules_at}/data"))
+    sinks.run_available(traffic, out, "append", st.policy_batch(rules_at, rules.schema))
     return sinks.read_all(spark, out).select("event_id", "dropped")
 
 
@@ -757,9 +760,12 @@ def stream_dedup(spark, d):
 
 @query
 def stream_deltas(spark, d):
+    """Snapshots in files that cut through polls and keys, in no order: every file is late for some."""
     folder, source = shared_folder(spark, "deltas"), shared_folder(spark, "snapshots")
     table = I.snapshots(spark, d)
-    table.repartitionByRange("poll_id").write.parquet(source)
-    stream = spark.readStream.schema(table.schema).parquet(source)
-    sinks.run_available(stream, folder, "append", stream_deltas_op.delta_batch(spark, folder))
-    return sinks.read_all(spark, folder)
+    table.repartition(FILES, "poll_id", "src_ip").write.parquet(source)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sinks.run_available(
+        stream, folder, "append", stream_deltas_op.delta_batch(folder, polls=40), keys=[*stream_deltas_op.KEYS, "poll_id"]
+    )
+    return stream_deltas_op.read_deltas(spark, folder)

@@ -534,8 +534,8 @@ check("stream_flow_windows", "window_start:t window_end:t agent_id:s " + _FIVE +
       "min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT *, time_bucket(INTERVAL '30 seconds', ts) AS w FROM flows) AS f "
       f"GROUP BY w, agent_id, {FIVE}")
 check("stream_sketches", "sketch:s row_i:l col_j:l value:l",
-      "SELECT 'cms' AS sketch, row_i, col_j, cnt AS value FROM flow_cells UNION ALL "
-      f"SELECT 'hll', 0, register, rho FROM ({registers_sql('keyed', 'flow', A14)}) AS r")
+      "SELECT metric AS sketch, row_i, col_j, cnt AS value FROM metric_cells UNION ALL "
+      f"SELECT dimension, 0, register, rho FROM ({registers_sql('dims', 'value', A14, 'dimension')}) AS r")
 check("stream_rate", "window_start:t window_end:t rate:d mbps:d",
       "SELECT w AS window_start, w + INTERVAL '2 seconds' AS window_end, sum(bytes) / 2.0::DOUBLE AS rate, sum(bytes) / 2.0::DOUBLE * 8 / 1e6 AS mbps FROM "
       "(SELECT bytes, date_trunc('second', live_ts) - to_seconds(i) AS w FROM flows, range(2) AS t(i)) AS f GROUP BY w")

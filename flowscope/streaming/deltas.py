@@ -1,8 +1,10 @@
-"""Counter deltas from a stream of snapshots.
+"""Counter deltas from a stream of snapshots, right for any cut of the input into micro-batches.
 
-The state is what the next poll needs and nothing else: the rows of each agent's newest poll.  Every micro-batch reads
-the previous epoch's state table, runs the batch operator over state and new rows together, and writes the next state
-under its own epoch, so a retried epoch overwrites itself.  Keys never become Python groups or single state entries.
+The state is a table of each agent's newest polls.  A micro-batch is merged into it, and every row that the batch can
+have changed is worked out by the batch operator: the new rows and their successors in the next poll.  So a poll that
+spans micro-batches or comes late corrects what was emitted before; results are read as the newest row of each key and
+poll.  Rows more than ``polls`` polls behind their agent's newest are too late: they change nothing.  Each epoch writes
+its own state table, so a retried epoch overwrites itself; tables before the last one are removed.
 """
 
 from __future__ import annotations
@@ -11,22 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowscope.operators.series import counter_deltas
+from flowscope.streaming import sinks
 
+KEYS = ("agent_id", "src_ip", "dst_ip", "proto", "src_port", "dst_port")
+POLLS = 8
 
-def newest_polls(rows: DataFrame, agent: str = "agent_id", poll: str = "poll_id") -> DataFrame:
-    newest = rows.groupBy(agent).agg(F.max(poll).alias(poll))
-    return rows.join(newest, [agent, poll], "left_semi")
 
+def newest_polls(rows: DataFrame, polls: int, agent: str = "agent_id", poll: str = "poll_id") -> DataFrame:
+    newest = rows.groupBy(agent).agg(F.max(poll).alias("_newest"))
+    return rows.join(newest, agent).where(F.col(poll) > F.col("_newest") - polls).drop("_newest")
 
-def delta_batch(spark: SparkSession, folder: str):
+
+def delta_batch(folder: str, polls: int = POLLS):
     """Micro-batch function for ``sinks.start``; ``folder`` is the query's own shared folder."""
 
     def apply(batch: DataFrame, epoch: int) -> DataFrame:
-        rows = batch.withColumn("fresh", F.lit(True))
+        spark = batch.sparkSession
+        rows = batch.select("*", F.lit(epoch).cast("bigint").alias("seen"))
         if epoch > 0:
-            state = spark.read.schema(batch.schema).parquet(f"{folder}/state/epoch={epoch - 1}")
-            rows = rows.unionByName(state.withColumn("fresh", F.lit(False)))
-        newest_polls(rows.drop("fresh")).write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
-        return counter_deltas(rows, keep=("fresh",)).where("fresh").drop("fresh")
+            state = spark.read.schema(rows.schema).parquet(f"{folder}/state/epoch={epoch - 1}")
+            rows = rows.unionByName(state)
+        # a row that comes again replaces the one before
+        totals = [c for c in batch.columns if c not in (*KEYS, "poll_id")]
+        rows = rows.groupBy(*KEYS, "poll_id").agg(F.max_by(F.struct(*totals, "seen"), "seen").alias("_r")).select(
+            *KEYS, "poll_id", *[F.col(f"_r.{c}").alias(c) for c in (*totals, "seen")]
+        )
+        newest_polls(rows, polls).write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+        sinks.remove_epochs(spark, f"{folder}/state", epoch - 2)
+        kept = spark.read.schema(rows.schema).parquet(f"{folder}/state/epoch={epoch}")
+        fresh = kept.where(F.col("seen") == epoch).select(*KEYS, "poll_id")
+        touched = fresh.union(fresh.withColumn("poll_id", F.col("poll_id") + 1)).distinct()
+        return counter_deltas(kept, keep=("seen",), positive=False).drop("seen").join(touched, [*KEYS, "poll_id"], "left_semi")
 
     return apply
+
+
+def read_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """Deltas with new bytes, as corrected last."""
+    return sinks.read_latest(spark, folder, [*KEYS, "poll_id"]).where("bytes > 0")

@@ -6,17 +6,19 @@ are partially aggregated before the shuffle, so one dominant key reaches its sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowscope.functions.hashing import CmsSpec, HllSpec
 from flowscope.functions.net import ipv4_to_long, is_ipv4, network_of
-from flowscope.operators.countmin import cms_build
-from flowscope.operators.loglog import hll_build
+from flowscope.operators.countmin import cms_build, cms_build_metrics
+from flowscope.operators.loglog import dimension_registers, hll_build
 from flowscope.operators.policy import MAX_TTL, policy_apply
 from flowscope.operators.prefixes import LEVELS
 from flowscope.operators.rollup import FIVE_TUPLE, counter_rows
-from flowscope.operators.sliced import micros
+from flowscope.operators.sliced import time_slice
+from flowscope.streaming import sinks
 
 
 def flow_windows(flows: DataFrame, every: str = "30 seconds", late: str = "10 minutes", by=("agent_id",)) -> DataFrame:
@@ -64,6 +66,16 @@ def sketch_registers(flows: DataFrame, value, spec: HllSpec = HllSpec()) -> Data
     return hll_build(flows, value, spec).table
 
 
+def sketch_metric_cells(flows: DataFrame, spec: CmsSpec = CmsSpec()) -> DataFrame:
+    """Running cells of the bytes, packets and flows sketches; the state is three times depth x width at most."""
+    return cms_build_metrics(flows, spec).cells
+
+
+def sketch_dimension_registers(flows: DataFrame, spec: HllSpec = HllSpec()) -> DataFrame:
+    """Running registers of the five cardinality sketches."""
+    return dimension_registers(flows, spec).table
+
+
 def sliding_rate(messages: DataFrame, span: str = "2 seconds", step: str = "1 second", seconds: float = 2.0,
                  late: str = "10 seconds") -> DataFrame:
     """Bytes per second and Mbps of sliding windows."""
@@ -92,19 +104,32 @@ def new_batches(docs: DataFrame, ts: str, keys=("agent", "timestamp"), late: str
     return docs.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def policy_batch(spark: SparkSession, rules_path: str, max_ttl: int = MAX_TTL):
-    """Per-micro-batch blocklist application against the table the rule stream appends to.
+def sliced_rules(rules: DataFrame, max_ttl: int = MAX_TTL) -> DataFrame:
+    """Rules with the time slice that their table is partitioned by."""
+    return rules.withColumn("rule_slice", time_slice("ts", max_ttl))
+
+
+def policy_batch(folder: str, rule_schema, max_ttl: int = MAX_TTL):
+    """Per-micro-batch blocklist application against the rules that ``sliced_rules`` wrote to ``folder``.
 
-    Only rules that can still be in force for the batch are read.  The rule state lives in that shared table, and the
-    traffic is matched by the same sliced equality join as in batch, so a hot source is not one state key.
+    A rule is in force for at most ``max_ttl``, one slice: only the slices of the batch and the one before are read, by
+    partition.  Before the first rule nothing is dropped.  Traffic meets the rules that are written when its batch
+    starts; what it must not miss has to be written before, by running the rule stream ahead of it.  The rule state
+    lives in that shared table, and the traffic is matched by the same sliced equality join as in batch, so a hot source
+    is not one state key.
     """
 
     def apply(batch: DataFrame, epoch: int) -> DataFrame:
-        span = batch.agg(F.struct(F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi"))).scalar()
-        rules = spark.read.parquet(rules_path).withColumn("_span", span)
-        live = rules.where(
-            (micros("ts") >= F.col("_span.lo") - F.lit(max_ttl * 1_000_000)) & (micros("ts") <= F.col("_span.hi"))
-        ).drop("_span")
+        spark = batch.sparkSession
+        columns = T.StructType([*rule_schema.fields, T.StructField("rule_slice", T.LongType())])
+        if not sinks.exists(spark, f"{folder}/data"):
+            return batch.withColumn("dropped", F.lit(False))
+        batch = batch.persist()  # read once, for its slices and for the join
+        span = batch.agg(F.min(time_slice("ts", max_ttl)).alias("lo"), F.max(time_slice("ts", max_ttl)).alias("hi")).first()
+        if span.lo is None:
+            return batch.withColumn("dropped", F.lit(False))
+        rules = spark.read.schema(columns).parquet(f"{folder}/data")
+        live = rules.where(F.col("rule_slice").between(span.lo - 1, span.hi)).drop("rule_slice", "epoch")
         return policy_apply(batch, live, max_ttl=max_ttl)
 
     return apply

@@ -42,24 +42,78 @@ def test_prefixes_over_batches(spark, many_files):
 def test_policy_over_batches(spark, many_files):
     rules_at, out = shared_folder(spark, "t-rules"), shared_folder(spark, "t-policy")
     events = stream(spark, many_files)
-    sinks.run_available(policy.normalize_policy_events(events.where(I.POLICY_CHOICE).selectExpr(*I.POLICY_EVENTS)), rules_at, "append")
-    sinks.run_available(events.select("event_id", "ts", "src_ip"), out, "append", st.policy_batch(spark, f"{rules_at}/data"))
+    rules = policy.normalize_policy_events(events.where(I.POLICY_CHOICE).selectExpr(*I.POLICY_EVENTS))
+    traffic = events.select("event_id", "ts", "src_ip")
+    before = shared_folder(spark, "t-policy")
+    sinks.run_available(traffic, before, "append", st.policy_batch(rules_at, rules.schema))
+    assert sinks.read_all(spark, before).where("dropped").count() == 0  # no rule has been written yet
+    sinks.run_available(st.sliced_rules(rules), rules_at, "append", partition_by=["rule_slice"])
+    sinks.run_available(traffic, out, "append", st.policy_batch(rules_at, rules.schema))
     got = sinks.read_all(spark, out)
     want = policy.policy_apply(I.flows(spark, SF), policy.normalize_policy_events(I.policy_events(spark, SF)))
     assert rows(got, "event_id", "dropped") == rows(want, "event_id", "dropped")
 
 
-def test_deltas_keep_state_between_batches(spark, tmp_path):
+def test_policy_reads_only_the_slices_of_the_batch(spark, many_files):
+    rules_at = shared_folder(spark, "t-rules")
+    rules = policy.normalize_policy_events(I.policy_events(spark, SF))
+    st.sliced_rules(rules).write.partitionBy("rule_slice").parquet(f"{rules_at}/data/epoch=0")
+    batch = I.flows(spark, SF).select("event_id", "ts", "src_ip").where("ts < '2024-01-02'")
+    applied = st.policy_batch(rules_at, rules.schema)(batch, 1)
+    plan = applied._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(rule_slice" in plan
+
+
+def snapshot_files(spark, path, cuts):
     snaps = I.snapshots(spark, SF).cache()
-    path = str(tmp_path / "snaps")
-    for poll in (1, 2, 3, 4, 6):
-        snaps.where(F.col("poll_id") == poll).coalesce(1).write.mode("append").parquet(path)
-    wanted = snaps.where("poll_id IN (1, 2, 3, 4, 6)")
-    folder = shared_folder(spark, "t-deltas")
-    source = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    sinks.run_available(source, folder, "append", deltas.delta_batch(spark, folder))
-    cols = ["agent_id", "src_ip", "dst_port", "poll_id", "bytes", "packets"]
-    assert rows(sinks.read_all(spark, folder), *cols) == rows(series.counter_deltas(wanted), *cols)
+    for cut in cuts:
+        snaps.where(cut).coalesce(1).write.mode("append").parquet(path)
+    return snaps
+
+
+def run_deltas(spark, path, schema, folder, polls):
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    sinks.run_available(source, folder, "append", deltas.delta_batch(folder, polls), keys=[*deltas.KEYS, "poll_id"])
+    return deltas.read_deltas(spark, folder)
+
+
+DELTA_COLS = ["agent_id", "src_ip", "dst_port", "poll_id", "bytes", "packets"]
+
+
+def test_deltas_when_polls_are_cut_and_late(spark, tmp_path):
+    late = "src_ip LIKE '%3' AND poll_id = 2"
+    rest = f"NOT ({late}) AND poll_id <= 6"
+    half = "dst_port % 2 = 0"
+    cuts = [f"{rest} AND poll_id = 1", f"{rest} AND poll_id = 2 AND {half}", f"{rest} AND poll_id = 2 AND NOT {half}",
+            f"{rest} AND poll_id = 3", f"{rest} AND poll_id BETWEEN 4 AND 6 AND {half}", late,
+            f"{rest} AND poll_id BETWEEN 4 AND 6 AND NOT {half}"]
+    path, folder = str(tmp_path / "snaps"), shared_folder(spark, "t-deltas")
+    snaps = snapshot_files(spark, path, cuts)
+    got = run_deltas(spark, path, snaps.schema, folder, polls=10)
+    want = series.counter_deltas(snaps.where("poll_id <= 6"))
+    assert rows(got, *DELTA_COLS) == rows(want, *DELTA_COLS)
+    assert len(sinks.epochs(spark, f"{folder}/state")) <= 2
+
+
+def test_deltas_too_late_change_nothing(spark, tmp_path):
+    path, folder = str(tmp_path / "snaps"), shared_folder(spark, "t-deltas")
+    snaps = snapshot_files(spark, path, ["poll_id BETWEEN 2 AND 8", "poll_id = 1"])
+    got = run_deltas(spark, path, snaps.schema, folder, polls=3)
+    # agents' newest poll is 8, or less where an agent has none: compare with what each batch could know
+    newest = {r.agent_id: r.m for r in snaps.where("poll_id <= 8").groupBy("agent_id").agg(F.max("poll_id").alias("m")).collect()}
+    assert all(r.poll_id > newest[r.agent_id] - 3 for r in got.collect())
+
+
+def test_many_epochs_leave_a_bounded_number_of_folders(spark, tmp_path):
+    path, folder = str(tmp_path / "many"), shared_folder(spark, "t-many")
+    for i in range(25):
+        spark.createDataFrame([(i % 3, i)], "k int, v int").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(path)
+    sinks.run_available(source.groupBy("k").agg(F.sum("v").alias("v")), folder, "update", keys=["k"])
+    assert len(sinks.epochs(spark, f"{folder}/data")) <= 2 * sinks.COMPACT
+    assert len(sinks.epochs(spark, f"{folder}/base")) <= 2
+    got = {r.k: r.v for r in sinks.read_latest(spark, folder, ["k"]).collect()}
+    assert got == {k: sum(range(k, 25, 3)) for k in range(3)}
 
 
 class _Conf:
