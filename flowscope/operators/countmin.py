@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowscope.functions.hashing import CmsSpec, check_cms, cms_column
@@ -46,12 +47,8 @@ def cms_build(df: DataFrame, key, value, spec: CmsSpec = CmsSpec(), by=()) -> Co
     return CountMin(spec, rows.groupBy(*by, "row_i", "col_j").agg(F.sum("_v").cast("bigint").alias("cnt")))
 
 
-def cms_build_metrics(flows: DataFrame, spec: CmsSpec = CmsSpec()) -> CountMin:
-    """Bytes, packets and flows sketches in one pass, with a ``metric`` column.
-
-    The bytes sketch also takes ``src:<ip>`` and ``dst:<ip>`` keys, so its mass is three times the traffic.  The three
-    sketches share positions, hence each key is hashed once.
-    """
+def _wide_metrics(flows: DataFrame, spec: CmsSpec) -> DataFrame:
+    """Cells with a column per metric.  The three sketches share positions, hence each key is hashed once."""
     check_cms(spec)
     zero = F.lit(0).cast("bigint")
     keyed = lambda key, packets, one: F.struct(
@@ -63,11 +60,19 @@ def cms_build_metrics(flows: DataFrame, spec: CmsSpec = CmsSpec()) -> CountMin:
         keyed(F.concat(F.lit("dst:"), F.col("dst_ip")), zero, zero),
     )
     rows = _placed(flows.select(F.inline(entries)), "k", spec)
-    wide = rows.groupBy("row_i", "col_j").agg(
+    return rows.groupBy("row_i", "col_j").agg(
         F.sum("b").cast("bigint").alias("bytes"),
         F.sum("p").cast("bigint").alias("packets"),
         F.sum("n").cast("bigint").alias("flows"),
     )
+
+
+def cms_build_metrics(flows: DataFrame, spec: CmsSpec = CmsSpec()) -> CountMin:
+    """Bytes, packets and flows sketches in one pass, with a ``metric`` column.
+
+    The bytes sketch also takes ``src:<ip>`` and ``dst:<ip>`` keys, so its mass is three times the traffic.
+    """
+    wide = _wide_metrics(flows, spec)
     cells = wide.unpivot(["row_i", "col_j"], list(METRICS), "metric", "cnt").where(F.col("cnt") != 0)
     return CountMin(spec, cells.select("metric", "row_i", "col_j", "cnt"))
 
@@ -152,6 +157,47 @@ def cms_heavy_hitters_b(candidates: DataFrame, sketch: CountMin, top_k: int = 20
     return est.orderBy(F.desc("estimate"), F.desc(key_col)).limit(top_k)
 
 
+def cms_metric_estimates(flows: DataFrame, candidates: DataFrame, key_col: str = "key", spec: CmsSpec = CmsSpec()) -> DataFrame:
+    """Adds ``bytes_estimate``, ``packets_estimate`` and ``flows_estimate``: one sketch pass and one lookup for all three."""
+    wide = _wide_metrics(flows, spec)
+    at = (F.col("row_i") * spec.width + F.col("col_j")).cast("bigint").alias("id")
+    zero = [F.coalesce(m, F.lit(0)).alias(m) for m in METRICS]
+    filled = wide.sparkSession.range(spec.width * spec.depth).join(wide.select(at, *METRICS), "id", "left")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("id", *zero))), lambda x: F.struct(*[x[m].alias(m) for m in METRICS]))
+    cells = filled.agg(listed.alias("cells")).scalar()
+    reads = F.array(*[
+        F.element_at(cells, F.lit(i * spec.width + 1) + cms_column(F.col(key_col), i, spec)) for i in range(spec.depth)
+    ])
+    found = candidates.select("*", reads.alias("_reads"))
+    least = [F.array_min(F.col("_reads").getField(m)).alias(f"{m}_estimate") for m in METRICS]
+    return found.select(*candidates.columns, *least)
+
+
+def cms_heavy_hitters_all(flows: DataFrame, top_n: int = 10, spec: CmsSpec = CmsSpec()) -> DataFrame:
+    """``metric, flow, estimate``: the largest estimates of each metric; ties go to the smaller key.
+
+    The flows are read twice: for the sketch, and for the candidates.
+    """
+    keys = flows.select(flow_key().alias("flow")).distinct()
+    tall = cms_metric_estimates(flows, keys, "flow", spec).select(
+        "flow", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_estimate").alias("estimate")) for m in METRICS]))
+    )
+    order = W.partitionBy("metric").orderBy(F.desc("estimate"), "flow")
+    ranked = tall.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top_n)
+    return ranked.select("metric", "flow", "estimate")
+
+
+def ip_statistics_both(flows: DataFrame, sketch: CountMin) -> DataFrame:
+    """``ip_statistics`` of sources and destinations from one aggregate and one lookup."""
+    sides = F.inline(F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"{d}_ip").alias("ip")) for d in ("src", "dst")]))
+    exact = flows.select("bytes", "packets", sides).groupBy("ip", "direction").agg(
+        F.sum("bytes").cast("bigint").alias("bytes"), F.sum("packets").cast("bigint").alias("packets"), F.count(F.lit(1)).alias("flows")
+    )
+    keyed = exact.withColumn("key", F.concat_ws(":", "direction", "ip"))
+    est = cms_estimate(metric_sketch(sketch, "bytes"), keyed, "key")
+    return est.select("ip", "direction", F.col("estimate").alias("bytes_estimate"), "bytes", "packets", "flows")
+
+
 def ip_statistics(flows: DataFrame, sketch: CountMin, direction: str = "src", ips: DataFrame | None = None) -> DataFrame:
     """Per-address bytes, packets and flows.
 

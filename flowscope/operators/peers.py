@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowscope.functions.net import flow_key_endpoints
+from flowscope.functions.hashing import HllSpec
+from flowscope.functions.net import flow_key, flow_key_endpoints
+from flowscope.operators.loglog import Registers, hll_build, hll_count
 from flowscope.sources.summaries import scanner_rows
 
 
@@ -20,6 +22,17 @@ def peer_consolidation(docs: DataFrame) -> DataFrame:
     )
 
 
+def peer_union(flows: DataFrame, spec: HllSpec = HllSpec(), peer: str = "peer") -> DataFrame:
+    """Unique flows over all peers: the sum of the peers' estimates, and the estimate of their union.
+
+    A flow that several peers see counts once in the union: registers are merged by their maximum.
+    """
+    each = hll_build(flows, flow_key(), spec, (peer,))
+    united = Registers(spec, each.table.groupBy("register").agg(F.max("rho").alias("rho")))
+    total = hll_count(each).agg(F.coalesce(F.sum("estimate"), F.lit(0)).cast("bigint").alias("summed"))
+    return total.select("summed", hll_count(united, "united").scalar().alias("united"))
+
+
 def top_flows_across_peers(hitters: DataFrame, n: int = 10) -> DataFrame:
     """Largest heavy hitters over all peers; a flow seen by two peers is listed twice."""
     return hitters.select("flow", "bytes", "detected_by").orderBy(F.desc("bytes"), "flow", "detected_by").limit(n)

@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from flowscope.functions.hashing import CmsSpec, HllSpec
 from flowscope.operators.countmin import cms_build_metrics, cms_heavy_hitters, cms_mass, metric_sketch
 from flowscope.operators.detect import port_scanners_hll
-from flowscope.operators.loglog import cardinalities, dimension_registers, hll_build, hll_count
+from flowscope.functions.net import flow_key
+from flowscope.operators.loglog import (
+    cardinalities,
+    dimension_registers,
+    diversity_score,
+    hll_build,
+    hll_count,
+    sketch_memory,
+)
 from flowscope.operators.rollup import top_flows_per_batch
 
 
@@ -53,6 +61,53 @@ def summary_document(flows: DataFrame, asof: str, top: int = 20, scanner_thresho
     return head.select(F.lit("head").alias("part"), document.alias("document")).unionByName(listed)
 
 
+def summary_record(flows: DataFrame, asof: str, started: str, batch: str = "batch_ts", private: bool = True,
+                   cms: CmsSpec = CmsSpec(), hll: HllSpec = HllSpec()) -> DataFrame:
+    """The full summary of both sketches and of the run, as one row.
+
+    A sketch's total is its mass: the bytes sketch takes three keys per flow.  Unique flows are exact on the Count-Min
+    side and estimated on the other.
+    """
+    memory = sketch_memory(flows, cms, hll).select(F.struct("cms_bytes", "hll_bytes", "tracked_src_ips", "tracked_services").alias("v"))
+    totals = flows.agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("b"),
+        F.coalesce(F.sum("packets"), F.lit(0)).cast("bigint").alias("p"), F.countDistinct(flow_key()).alias("flows"),
+        F.countDistinct(batch).alias("batches"),
+    ).alias("v"))
+    cards = diversity_score(cardinalities(dimension_registers(flows, hll)))
+    row = cards.select("*", totals.scalar().alias("t"), memory.scalar().alias("m"))
+    seconds = (F.unix_micros(F.lit(asof).cast("timestamp")) - F.unix_micros(F.lit(started).cast("timestamp"))) / F.lit(1e6)
+    return row.select(
+        F.lit(asof).alias("timestamp"), seconds.alias("runtime_seconds"), F.col("t.n").alias("flows_processed"),
+        F.col("t.batches").alias("batches_processed"), F.lit(private).alias("privacy_enabled"),
+        F.lit("count_min_sketch").alias("cms_type"), (F.col("t.b") * 3).alias("cms_total_bytes"), F.col("t.p").alias("cms_total_packets"),
+        F.col("t.flows").alias("cms_unique_flows"), F.col("m.cms_bytes").alias("cms_memory_bytes"), F.lit(cms.width).alias("width"),
+        F.lit(cms.depth).alias("depth"), F.lit("hyperloglog").alias("hll_type"), *cards.columns,
+        F.col("t.n").alias("hll_total_flows"), F.col("t.b").alias("hll_total_bytes"), F.col("t.p").alias("hll_total_packets"),
+        F.col("m.hll_bytes").alias("hll_memory_bytes"), F.col("m.tracked_src_ips").alias("tracked_src_ips"),
+        F.col("m.tracked_services").alias("tracked_services"),
+    )
+
+
+GAUGES = {"agent_cpu": "agent_cpu", "hll_unique_flows": "unique_flows", "hll_unique_src_ips": "unique_src_ips"}
+
+
+def gauge_rows(payloads: DataFrame, agent: str = "agent_id", ts: str = "poll_id") -> DataFrame:
+    """Gauges of every payload as ``metric, label, ts, value`` rows, ready to be scraped or stored."""
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in GAUGES.items()]))
+    return payloads.select(F.col(agent).alias("label"), F.col(ts).alias("ts"), each).select("metric", "label", "ts", "value")
+
+
+def agent_gauges(payloads: DataFrame, agent: str = "agent_id", ts: str = "poll_id") -> DataFrame:
+    """The newest value of every gauge and agent."""
+    return gauge_rows(payloads, agent, ts).groupBy("metric", "label").agg(F.max_by("value", "ts").alias("value"))
+
+
+def save_metrics(rows: DataFrame, path: str) -> None:
+    """Appends ``metric, label, ts, value`` rows to a Parquet table partitioned by metric."""
+    rows.select("metric", "label", "ts", "value").write.mode("append").partitionBy("metric").parquet(path)
+
+
 def agent_payload(flows: DataFrame, cpu: DataFrame, k: int = 20, by=("agent_id", "poll_id"),
                   spec: CmsSpec = CmsSpec()) -> DataFrame:
     """One telemetry payload row per agent poll: totals, top flows, cardinalities, diversity.

@@ -58,15 +58,49 @@ def _trailing_sum(col: str, ordered, span: int) -> Column:
 
 
 def live_rate(messages: DataFrame, seconds: float = 2.0, ts="ts", bytes_col="bytes", by=(), slice_seconds: int = 60):
-    """Bytes per second and Mbps over the last ``seconds`` at every message; the far end is exclusive."""
+    """Bytes per second and Mbps over the last ``seconds`` at every message; the far end is exclusive.
+
+    Messages of one instant are summed before the window, which sees each instant of a slice once.
+    """
     span = int(seconds * 1_000_000)
     placed = messages.withColumn("_us", micros(ts))
-    laid = with_lookback(placed, F.col("_us"), max(slice_seconds * 1_000_000, span), span)
-    rate = _trailing_sum(bytes_col, W.partitionBy(*by, "_slice").orderBy("_us"), span) / F.lit(seconds)
-    out = laid.withColumn("rate", rate).where(~F.col("_copied"))
+    instants = placed.groupBy(*by, "_us").agg(F.sum(bytes_col).alias("_sum"))
+    laid = with_lookback(instants, F.col("_us"), max(slice_seconds * 1_000_000, span), span)
+    rate = _trailing_sum("_sum", W.partitionBy(*by, "_slice").orderBy("_us"), span) / F.lit(seconds)
+    rates = laid.withColumn("rate", rate).where(~F.col("_copied")).select(
+        *[F.col(b).alias(f"_at_{b}") for b in by], F.col("_us").alias("_at_us"), "rate"
+    )
+    same = F.col("_us").eqNullSafe(F.col("_at_us"))
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_at_{b}"))
+    out = placed.join(rates, same, "left")
     return out.select(*messages.columns, "rate", (F.col("rate") * 8 / 1e6).alias("mbps"))
 
 
+def live_rate_ticks(messages: DataFrame, seconds: int = 2, step: int = 1, ts="ts", bytes_col="bytes") -> DataFrame:
+    """The same rate on a grid of ``step`` seconds from the first message on, also where nothing arrives and it is 0.
+
+    Every message feeds the ticks whose look-back covers it; the grid has one row per tick of the covered time and ends
+    when the last message has left the window.
+    """
+    if seconds % step:
+        raise ValueError("the rate span must be a multiple of the step")
+    unit, span = step * 1_000_000, seconds * 1_000_000
+    first = F.ceil(micros(ts) / F.lit(unit)).cast("bigint") * unit
+    fed = messages.where(F.col(ts).isNotNull()).select(
+        F.col(bytes_col).alias("_b"), F.explode(F.sequence(first, first + F.lit(span - unit), F.lit(unit))).alias("_us")
+    )
+    sums = fed.groupBy("_us").agg(F.sum("_b").alias("_sum"))
+    ends = sums.agg(F.min("_us").alias("lo"), (F.max("_us") + unit).alias("hi")).where("lo IS NOT NULL")
+    coarse = ends.select("hi", F.explode(F.sequence("lo", "hi", F.lit(unit * 3600))).alias("from"))
+    grid = coarse.repartition("from").select(
+        F.explode(F.sequence("from", F.least(F.col("hi"), F.col("from") + F.lit(unit * 3599)), F.lit(unit))).alias("_us")
+    )
+    rate = F.coalesce(F.col("_sum"), F.lit(0)) / F.lit(float(seconds))
+    out = grid.join(sums, "_us", "left").select(F.timestamp_micros("_us").alias("tick"), rate.alias("rate"))
+    return out.withColumn("mbps", F.col("rate") * 8 / 1e6)
+
+
 def finite(value: Column) -> Column:
     v = value.cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
@@ -111,9 +145,12 @@ def lowslow_score(ticks: DataFrame, by=("tenant",), ts="ts") -> DataFrame:
     return scored.withColumn("label", score_label(F.col("score")))
 
 
-def carry_forward(messages: DataFrame, values: dict[str, Column], by=(), ts="ts", order=()) -> DataFrame:
-    """Last meaningful value so far of each entry; NULL marks a value as not meaningful."""
-    return sliced_last_value(messages, by, ts, values, order)
+def carry_forward(messages: DataFrame, values: dict[str, Column], by=(), ts="ts", order=(), seconds: int = 60) -> DataFrame:
+    """Last meaningful value so far of each entry; NULL marks a value as not meaningful.
+
+    Raw messages meet in slices of ``seconds``; a busier source takes narrower ones.
+    """
+    return sliced_last_value(messages, by, ts, values, order, seconds)
 
 
 def drops_rate(polls: DataFrame, ts="ts", total="drops_total", by=()) -> DataFrame:

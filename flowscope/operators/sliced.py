@@ -46,6 +46,9 @@ def with_lookback(df: DataFrame, position: Column, width: int, lookback: int) ->
 def _carried(df: DataFrame, keys, summary: dict[str, Column], chained) -> DataFrame:
     """Adds ``_carry_<name>``: per (key, slice) summaries chained over the slices of a key by ``chained(column, window)``.
 
+    The chain is a window over one small row per slice; without keys all slices are one partition, whose size is the
+    covered time over the slice width and not the number of rows.
+
     The join back is null-safe: no not-null filter is inferred for one side only, so both sides keep sharing the
     exchanges below them, and rows with NULL keys stay.
     """

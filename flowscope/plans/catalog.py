@@ -206,12 +206,7 @@ def cms_merge(spark, d):
 
 @query
 def cms_heavy_hitters(spark, d):
-    f = I.flows(spark, d)
-    sketch = cm.cms_build_metrics(f)
-    tops = [
-        cm.cms_heavy_hitters(f, sketch, 10, m).select(F.lit(m).alias("metric"), "flow", "estimate") for m in cm.METRICS
-    ]
-    return reduce(DataFrame.unionByName, tops)
+    return cm.cms_heavy_hitters_all(I.flows(spark, d), 10)
 
 
 @query
@@ -224,7 +219,7 @@ def cms_heavy_hitters_b(spark, d):
 def ip_statistics(spark, d):
     f = I.flows(spark, d)
     sketch = cm.cms_build_metrics(f)
-    return cm.ip_statistics(f, sketch, "src").unionByName(cm.ip_statistics(f, sketch, "dst"))
+    return cm.ip_statistics_both(f, sketch)
 
 
 # --- HyperLogLog ------------------------------------------------------------------------------------------------
@@ -304,6 +299,30 @@ def sketch_roundtrip(spark, d):
     return sums.unionByName(ll.hll_count(regs, "value").select(F.lit("hll flows").alias("item"), "value"))
 
 
+@query
+def state_roundtrip(spark, d):
+    """The full state written and read back: three Count-Min sketches, five cardinalities, both keyed maps, the run."""
+    f, path = I.batch_flows(spark, d), shared_folder(spark, "state")
+    cm.save_cms(cm.cms_build_metrics(f), path, "cms")
+    ll.save_registers(ll.dimension_registers(f), path, "dimensions")
+    ll.save_registers(ll.hll_build(f, "dst_port", ll.KEYED, ("src_ip",)), path, "src_to_dst_ports")
+    ll.save_registers(ll.hll_build(f, "src_ip", ll.KEYED, ("dst_port",)), path, "dst_to_src_ips")
+    rollup.traffic_totals(f).write.parquet(f"{path}/metadata")
+    cells = cm.load_cms(spark, path, "cms", CmsSpec()).cells
+    tables = [cells.groupBy(F.concat(F.lit("cms "), "metric", F.lit(" row "), F.col("row_i").cast("string")).alias("item")).agg(
+        F.sum("cnt").cast("bigint").alias("value")
+    )]
+    load = lambda name, spec, by: ll.load_registers(spark, path, name, spec, by)
+    tables.append(ll.hll_count(load("dimensions", HllSpec(), ("dimension",)), "value").select(
+        F.concat(F.lit("hll "), "dimension").alias("item"), "value"))
+    for name, by in (("src_to_dst_ports", "src_ip"), ("dst_to_src_ips", "dst_port")):
+        tables.append(ll.hll_count(load(name, ll.KEYED, (by,)), "value").select(
+            F.concat(F.lit(f"{name} "), F.col(by).cast("string")).alias("item"), "value"))
+    run = spark.read.parquet(f"{path}/metadata")
+    tables.append(run.unpivot([], ["flows_processed", "batches_processed"], "item", "value"))
+    return reduce(DataFrame.unionByName, tables)
+
+
 # --- detectors --------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +420,11 @@ def peer_view(spark, d):
     return peers.peer_consolidation(summaries.select_peers(_peer_docs(spark, d), "peer2"))
 
 
+@query
+def peer_union(spark, d):
+    return peers.peer_union(I.flows(spark, d).withColumn("peer", F.expr(I.PEER)))
+
+
 @query
 def scanner_rollcall(spark, d):
     return peers.scanner_rollcall(_peer_docs(spark, d))
@@ -485,6 +509,12 @@ def live_rate(spark, d):
     return series.live_rate(f).select("event_id", "rate", "mbps")
 
 
+@query
+def live_rate_ticks(spark, d):
+    """Two-hour rates at every full hour, idle hours too."""
+    return series.live_rate_ticks(I.flows(spark, d).select("ts", "bytes"), seconds=7200, step=3600)
+
+
 @query
 def rolling_baseline(spark, d):
     return series.rolling_baseline(I.ticks(spark, d), ["mbps", "spray"]).select("tenant", "ts", "mbps_p95", "spray_p95")
@@ -643,6 +673,16 @@ def summary_document(spark, d):
     return report.summary_document(I.flows(spark, d), I.ASOF, private=False)
 
 
+@query
+def summary_record(spark, d):
+    return report.summary_record(I.batch_flows(spark, d), I.ASOF, I.STARTED, private=False)
+
+
+@query
+def agent_gauges(spark, d):
+    return report.agent_gauges(I.payloads(spark, d))
+
+
 @query
 def agent_payload(spark, d):
     p = I.payloads(spark, d)
@@ -730,6 +770,18 @@ def stream_agent_state(spark, d):
     return state.select("agent_id", "cpu", "bytes", F.col("last_ts.ts").alias("last_ts"))
 
 
+@query
+def stream_gauges(spark, d):
+    """Payloads arrive as a stream; the newest value of each gauge and agent stays."""
+    source = shared_folder(spark, "payloads")
+    rows = I.payloads(spark, d).select("agent_id", "poll_id", "agent_cpu", "unique_flows", "unique_src_ips")
+    rows.repartition(FILES, "poll_id").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    state = st.agent_state(stream, ts="poll_id", values=("agent_cpu", "unique_flows", "unique_src_ips"))
+    latest = _current(spark, state, "gauges", ["agent_id"])
+    return report.gauge_rows(latest, ts="last_ts").drop("ts")
+
+
 @query
 def stream_counters(spark, d):
     return _current(spark, st.counters(_event_stream(spark, d)), "counters", ["metric", "label"])

@@ -317,6 +317,29 @@ check("sketch_roundtrip", "item:s value:l",
 check("approx_unique_flows", "exact:l approx_flows_near:b datasketch_flows_near:b",
       "SELECT count(*) AS exact, true AS approx_flows_near, true AS datasketch_flows_near FROM distinct_flows")
 
+_KEYED_MAPS = (("src_to_dst_ports", "src_ip", "CAST(dst_port AS VARCHAR)"), ("dst_to_src_ips", "dst_port", "src_ip"))
+check("state_roundtrip", "item:s value:l",
+      "SELECT 'cms ' || metric || ' row ' || row_i AS item, sum(cnt) AS value FROM metric_cells GROUP BY 1 UNION ALL "
+      "SELECT 'hll ' || dimension, estimate FROM dim_counts UNION ALL " + " UNION ALL ".join(
+          f"SELECT '{n} ' || {by}, e FROM ({count_sql(registers_sql('flows', v, A12, by), A12, by, 'e')}) AS k" for n, by, v in _KEYED_MAPS) +
+      " UNION ALL SELECT 'flows_processed', count(*) FROM flows UNION ALL SELECT 'batches_processed', count(DISTINCT date_trunc('hour', ts)) FROM flows")
+check("summary_record", "timestamp:s runtime_seconds:d flows_processed:l batches_processed:l privacy_enabled:b cms_type:s cms_total_bytes:l "
+      "cms_total_packets:l cms_unique_flows:l cms_memory_bytes:l width:l depth:l hll_type:s " + _CARDS + " diversity_score:d hll_total_flows:l "
+      "hll_total_bytes:l hll_total_packets:l hll_memory_bytes:l tracked_src_ips:l tracked_services:l",
+      f"SELECT '{I.ASOF}' AS timestamp, 2678400 AS runtime_seconds, n AS flows_processed, bt AS batches_processed, false AS privacy_enabled, "
+      "'count_min_sketch' AS cms_type, 3 * b AS cms_total_bytes, p AS cms_total_packets, uf AS cms_unique_flows, 245760 AS cms_memory_bytes, "
+      f"2048 AS width, 5 AS depth, 'hyperloglog' AS hll_type, cards.*, {_DIV} AS diversity_score, n AS hll_total_flows, b AS hll_total_bytes, "
+      "p AS hll_total_packets, 81920 + (si + sv) * 4096 AS hll_memory_bytes, si AS tracked_src_ips, sv AS tracked_services FROM cards, "
+      "(SELECT count(*) AS n, sum(bytes) AS b, sum(packets) AS p, count(DISTINCT flow) AS uf, count(DISTINCT date_trunc('hour', ts)) AS bt, "
+      "count(DISTINCT src_ip) AS si, count(DISTINCT dst_port) AS sv FROM keyed) AS t")
+check("peer_union", "summed:l united:l",
+      "SELECT (SELECT sum(estimate) FROM (" + count_sql(registers_sql("peer_flows", "flow", A14, "peer"), A14, "peer") + f") AS p) AS summed, estimate AS united FROM ({_FLOW_COUNT}) AS u")
+_GAUGES = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, agent_id AS label, arg_max({c}, poll_id) AS value FROM payload_rows GROUP BY 2"
+    for m, c in (("agent_cpu", "agent_cpu"), ("hll_unique_flows", "unique_flows"), ("hll_unique_src_ips", "unique_src_ips")))
+check("agent_gauges", "metric:s label:s value:d", _GAUGES)
+check("stream_gauges", "metric:s label:s value:d", _GAUGES)
+
 # --- detectors --------------------------------------------------------------------------------------------------
 
 check("port_scanners", "src_ip:s unique_ports:l",
@@ -431,6 +454,11 @@ check("stream_deltas", _DELTA_COLS, _DELTAS)
 check("live_rate", "event_id:l rate:d mbps:d",
       "SELECT event_id, s / 2.0 AS rate, s / 2.0 * 8 / 1e6 AS mbps FROM (SELECT event_id, CAST(sum(bytes) OVER (ORDER BY live_ts RANGE BETWEEN "
       "INTERVAL 1999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS DOUBLE) AS s FROM flows) AS r")
+cte("tick_sums", "SELECT t, sum(bytes) AS s FROM (SELECT bytes, unnest([h, h + INTERVAL 1 HOUR]) AS t FROM (SELECT bytes, CASE WHEN date_trunc('hour', ts) = ts "
+    "THEN ts ELSE date_trunc('hour', ts) + INTERVAL 1 HOUR END AS h FROM flows) AS f) AS e GROUP BY 1")
+check("live_rate_ticks", "tick:t rate:d mbps:d",
+      "SELECT tick, coalesce(s, 0) / 7200.0::DOUBLE AS rate, coalesce(s, 0) / 7200.0::DOUBLE * 8 / 1e6 AS mbps FROM (SELECT unnest(generate_series((SELECT min(t) FROM tick_sums), "
+      "(SELECT max(t) + INTERVAL 1 HOUR FROM tick_sums), INTERVAL 1 HOUR)) AS tick) AS g LEFT JOIN tick_sums ON t = tick")
 check("rolling_baseline", "tenant:s ts:t mbps_p95:d spray_p95:d",
       f"SELECT tenant, ts, {_p95('mbps')}, {_p95('spray')} FROM tick_rows {_BASE_WINDOW}")
 _SCORE = " + ".join(

@@ -63,7 +63,7 @@ SERVICE_PORT = "CASE WHEN event_type = 'error' THEN 22 ELSE dst_port END"
 RESTART_POLL = 15
 PEER = "concat('peer', CAST(1 + user_id % 5 AS STRING))"
 PEER_CUTS = ("2024-01-15 00:00:00", "2024-01-31 00:00:00")
-ASOF = "2024-02-01 00:00:00"
+STARTED, ASOF = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 
 def columns(spec: dict[str, str], dialect: dict[str, str]) -> list[str]:
