@@ -106,7 +106,7 @@ def batch_diversity(flows: DataFrame, by=("agent_id", "poll_id"), key="flow_id")
 
 def cardinality_rows(cards: DataFrame) -> DataFrame:
     """Wide cardinalities as ``metric, value`` text rows for display."""
-    text = cards.select(
+    text = cards.select(  # fixed values: the four names of the display
         F.col("unique_flows").cast("string").alias("Unique Flows"),
         F.col("unique_src_ips").cast("string").alias("Unique Sources"),
         F.col("unique_dst_ports").cast("string").alias("Unique Dest Ports"),

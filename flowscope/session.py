@@ -12,7 +12,10 @@ _local_base: str | None = None
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session zone so wall-clock and instant columns agree on every node."""
+    """Pin the session zone so wall-clock and instant columns agree on every node.
+
+    The setting stays for the rest of the session: results are lazy and read it when they run.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
