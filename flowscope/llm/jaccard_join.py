@@ -42,9 +42,9 @@ LOW = np.uint64((1 << 40) - 1)
 
 NAME = np.dtype([("n", "<u4"), ("hash", "<u8")])  # a set: its size and 64 hash bits of its elements
 
-_BLOCKS = "part int, doc_id bigint, n int, digest binary, sets binary, count binary, low binary, high binary"
-_REPLIES = "bucket int, doc_id bigint, n int, digest binary, sets binary, count binary, ids binary, df binary"
-_SETS = "digest binary, n int, ids binary, prefix array<bigint>"
+_BLOCKS = "part int, doc_id bigint, n int, set_id bigint, sets binary, count binary, low binary, high binary"
+_REPLIES = "part int, bucket int, doc_id bigint, n int, set_id bigint, sets binary, count binary, low binary, high binary, df binary"
+_SETS = "id bigint, n int, ids binary, prefix array<bigint>"
 
 
 def set_digest(sorted_hashes: np.ndarray) -> bytes:
@@ -103,7 +103,8 @@ def shingle_blocks(size: int, parts: int):
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 hashes = shingle_hashes(data[border[i] : border[i + 1]], size)
                 digest = set_digest(hashes) if len(hashes) else None
-                rows.append((i % parts, doc_id, len(hashes), digest, None, None, None, None))
+                set_id = None if digest is None else int(np.frombuffer(digest, NAME)["hash"].view(np.int64)[0])
+                rows.append((i % parts, doc_id, len(hashes), set_id, None, None, None, None))
                 if doc_id is not None and digest is not None and digest not in sets:
                     sets[digest] = hashes
                     waiting += len(hashes)
@@ -134,8 +135,8 @@ def count_sets(buckets: int):
         known = pa.compute.is_null(rows["sets"])
         docs, blocks = rows.filter(known), rows.filter(pa.compute.invert(known))
         none = pa.nulls(len(docs), pa.binary())
-        passed = pa.table([pa.nulls(len(docs), pa.int32()), docs["doc_id"], docs["n"], docs["digest"], none, none, none, none],
-                          schema=schema)
+        no = pa.nulls(len(docs), pa.int32())
+        passed = pa.table([no, no, docs["doc_id"], docs["n"], docs["set_id"], none, none, none, none, none], schema=schema)
         if not len(blocks):
             return passed
         names, owner = _gather(blocks)
@@ -149,7 +150,7 @@ def count_sets(buckets: int):
         count = np.diff(np.append(start, len(ids)))
         df = np.repeat(count, count)
         shared = df > 1
-        ids, owner, df = ids[shared] | (part << 40), owner[shared], df[shared].astype(np.int32)
+        ids, owner, df = ids[shared], owner[shared], df[shared]
         bucket = (names["hash"] % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((owner, bucket[owner]))
         ids, owner, df = ids[by], owner[by], df[by]
@@ -158,7 +159,8 @@ def count_sets(buckets: int):
         for b in np.flatnonzero(np.diff(border)):
             cut = slice(border[b], border[b + 1])
             here, each = np.unique(owner[cut], return_counts=True)
-            out.append((int(b), None, None, None, names[here].tobytes(), _packed(each), ids[cut].tobytes(), df[cut].tobytes()))
+            out.append((part, int(b), None, None, None, names[here].tobytes(), _packed(each), ids[cut].astype(np.uint32).tobytes(),
+                        (ids[cut] >> 32).astype(np.uint8).tobytes(), _packed(df[cut])))
         return pa.concat_tables([passed, _table(out, schema)])
 
     return run
@@ -170,7 +172,10 @@ def linkable_sets(percent: int):
 
     def run(key, rows):
         names, owner = _gather(rows)
-        ids, df = np.concatenate(_blob(rows["ids"], np.int64)), np.concatenate(_blob(rows["df"], np.int32))
+        low, high = _blob(rows["low"], np.uint32), _blob(rows["high"], np.uint8)
+        ids = np.concatenate(low).astype(np.int64) | (np.concatenate(high).astype(np.int64) << 32)
+        ids |= np.repeat(rows["part"].to_numpy().astype(np.int64) << 40, [len(x) for x in low])
+        df = np.concatenate([_unpacked(d, len(x)).astype(np.int64) for d, x in zip(_blob(rows["df"], np.uint8), low, strict=True)])
         size = names["n"].astype(np.int64)
         spare = size - -(-percent * size // 100)  # shingles a set may have for itself
         first = spare + 1 - (size - np.bincount(owner, minlength=len(names)))
@@ -182,12 +187,32 @@ def linkable_sets(percent: int):
         out = []
         for i in np.flatnonzero(first > 0):
             mine = ids[border[i] : border[i + 1]]
-            out.append((names[i].tobytes(), int(size[i]), np.sort(mine).tobytes(), mine[: first[i]]))
+            out.append((int(names["hash"][i].view(np.int64)), int(size[i]), pack_ids(np.sort(mine)), mine[: first[i]]))
         return _table(out, schema)
 
     return run
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted shingle numbers as bytes: six each while they fit, which the first byte tells."""
+    if len(ids) and ids[-1] >= 1 << 48:
+        return b"\x08" + ids.tobytes()
+    return b"\x06" + ids.astype(np.uint32).tobytes() + (ids >> 32).astype(np.uint16).tobytes()
+
+
+def unpack_ids(blob) -> np.ndarray:
+    blob = memoryview(blob)
+    if blob[0] == 8:
+        return np.frombuffer(blob[1:], np.int64)
+    n = (len(blob) - 1) // 6
+    high = np.frombuffer(blob[1 + 4 * n :], np.uint16).astype(np.int64)
+    return np.frombuffer(blob[1 : 1 + 4 * n], np.uint32).astype(np.int64) | (high << 32)
+
+
+def _id_sets(column) -> list[np.ndarray]:
+    return [unpack_ids(x.as_buffer()) for x in column]
+
+
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted arrays of distinct numbers."""
     if len(a) > len(b):
@@ -246,7 +271,7 @@ def _local_join(percent: int):
 
     def run(key, rows):
         side = rows["side"].to_pylist()
-        links = join_region(rows["id"].to_pylist(), rows["n"].to_pylist(), _blob(rows["ids"], np.int64),
+        links = join_region(rows["id"].to_pylist(), rows["n"].to_pylist(), _id_sets(rows["ids"]),
                             rows["star"].to_pylist(), percent, side if any(s is not None for s in side) else None)
         return _table(links, schema)
 
@@ -258,9 +283,9 @@ def _to_pivots(percent: int):
     radius = 1 - percent / 100
 
     def run(key, sets, pivots):
-        names, pivot_sets, pivot_sizes = pivots["pivot"].to_pylist(), _blob(pivots["pivot_ids"], np.int64), pivots["pivot_n"].to_pylist()
+        names, pivot_sets, pivot_sizes = pivots["pivot"].to_pylist(), _id_sets(pivots["pivot_ids"]), pivots["pivot_n"].to_pylist()
         out = []
-        for i, n, mine in zip(sets["id"].to_pylist(), sets["n"].to_pylist(), _blob(sets["ids"], np.int64), strict=True):
+        for i, n, mine in zip(sets["id"].to_pylist(), sets["n"].to_pylist(), _id_sets(sets["ids"]), strict=True):
             common = [shared(mine, p) for p in pivot_sets]
             far = [1 - c / max(1, n + m - c) for c, m in zip(common, pivot_sizes, strict=True)]
             links = [p for p, c, m in zip(names, common, pivot_sizes, strict=True) if p != i and is_link(c, n, m, percent)]
@@ -357,17 +382,16 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def jaccard_sets(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, n, digest; one row per set that may have partners: id, n, ids, prefix)."""
+    """(one row per document: doc_id, n, set_id; one row per set that may have partners: id, n, ids, prefix)."""
     spark = docs.sparkSession
     ship_code(spark)
     width = shuffle_width(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_column(docs, text).alias("text"))
     blocks = rows.mapInArrow(shingle_blocks(shingle, width), _BLOCKS)
     replies = materialize(blocks.groupBy("part").applyInArrow(count_sets(width), _REPLIES), "jaccard-shingles")
-    named = replies.where("bucket is null").select("doc_id", "n", "digest")
+    named = replies.where("bucket is null").select("doc_id", "n", "set_id")
     sets = replies.where("bucket is not null").groupBy("bucket").applyInArrow(linkable_sets(percent), _SETS)
-    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    return named, materialize(sets.join(classes, "digest").drop("digest"), "jaccard-sets")
+    return named, materialize(sets, "jaccard-sets")
 
 
 def jaccard_links(sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -389,12 +413,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     one without words is an empty set that is linked with nothing.  Two rows are linked if 100 * common shingles are at
     least ``percent`` * all shingles of both; equal sets always are.  ``component_id`` is the smallest id a row reaches.
     A row without an id is counted but not linked (null component).  Repeated rows stay; rows that share an id are one
-    document, linked with whatever one of its texts is.  Shingles are compared by 64-bit hashes.
+    document, linked with whatever one of its texts is.  Shingles are compared by at least 40 hash bits, sets named by 64.
     """
     named, sets = jaccard_sets(docs, shingle, percent, id_col, text)
-    components = materialize(connected_components(jaccard_links(sets, percent)), "jaccard-components")
-    classes = named.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = classes.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    rows = named.join(classes, "digest", "left")
+    classes = named.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
+    links = jaccard_links(sets, percent)
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("set_id").alias(end), F.col("node").alias(f"node_{end}")), end)
+    components = materialize(connected_components(links, "node_a", "node_b"), "jaccard-components")
+    classes = classes.join(components, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    rows = named.join(classes, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select(F.col("doc_id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
