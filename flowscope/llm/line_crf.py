@@ -207,19 +207,37 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, id_col:
         F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))
     )
     drawn = drawn.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(limit)
+    ship_code(docs.sparkSession)
     body = text_column(docs, text)
     rows = docs.select(F.col(id_col).alias("id"), body.alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     sample = rows.join(F.broadcast(drawn), rows["id"] == drawn["label_id"]).select("id", "label", "text")
-    # bounded: ``limit`` ids of at most SAMPLE_CHARS characters, unless rows repeat them
-    found = sample.dropDuplicates(["id"]).orderBy("id").toPandas()
+    # features are worked out where the texts are; the driver gets numbers for at most ``limit`` texts of SAMPLE_CHARS
+    found = sample.mapInArrow(_sample_features, "id string, label int, features binary, length binary")
+    found = found.dropDuplicates(["id"]).orderBy("id").toPandas()
     if found["label"].nunique() < 2:
         known = float(found["label"].mean()) if len(found) else 0.5
         odds = np.log((known + 1e-3) / (1 - known + 1e-3))
         size = 3 * len(NAMES) + 1
         return LineModel(np.zeros(size), np.ones(size), np.append(np.zeros(size - 1), odds), np.zeros((2, 2)))
-    encoded = [t.encode() for t in found["text"]]
-    border = np.concatenate(([0], np.cumsum([len(e) for e in encoded])))
-    return fit(line_features(np.frombuffer(b"".join(encoded), np.uint8), border), found["label"].to_numpy())
+    length = [np.frombuffer(x, np.int64) for x in found["length"]]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in length])))
+    features = np.frombuffer(b"".join(found["features"]), np.float32).reshape(-1, len(NAMES)).astype(np.float64)
+    return fit(Lines(features, np.concatenate(length), first), found["label"].to_numpy())
+
+
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, border = text_bytes(batch.column(2))
+        features, length = [], []
+        for i in range(batch.num_rows):
+            lines = line_features(data[border[i] : border[i + 1]], border[i : i + 2])
+            features.append(lines.features.astype(np.float32).tobytes())
+            length.append(lines.length.astype(np.int64).tobytes())
+        ids = batch.column(0).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [ids, batch.column(1), pa.array(features, pa.binary()), pa.array(length, pa.binary())],
+            names=["id", "label", "features", "length"],
+        )
 
 
 def with_quality(docs: DataFrame, model: LineModel, score: str = "score", text: str = "text") -> DataFrame:
