@@ -723,6 +723,12 @@ def _event_stream(spark, d):
     return I.event_flows(_stream(spark, d))
 
 
+def _span(rows, ts):
+    """Lateness that covers the whole time of a table whose files come in no order: no row is ever late."""
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    return f"{rows.agg(F.coalesce(F.max(at) - F.min(at), F.lit(0))).first()[0] + 2} seconds"
+
+
 def _current(spark, stream, name, keys):
     """The newest row of each key once the stream has run."""
     folder = shared_folder(spark, name)
@@ -757,8 +763,10 @@ def stream_sketches(spark, d):
 
 @query
 def stream_rate(spark, d):
+    """Every window; the time grows with the table, and so does the lateness that its files need."""
     messages = _event_stream(spark, d).select(F.col("live_ts").alias("ts"), "bytes")
-    return _current(spark, st.sliding_rate(messages, late="30 days"), "rate", ["window_start", "window_end"])
+    rates = st.sliding_rate(messages, late=_span(I.flows(spark, d), "live_ts"))
+    return _current(spark, rates, "rate", ["window_start", "window_end"])
 
 
 @query
@@ -804,9 +812,12 @@ def stream_dedup(spark, d):
     """Documents arrive in several files, some twice; whole documents are dropped, then flows exploded."""
     folder, source = shared_folder(spark, "dedup"), shared_folder(spark, "flow-documents")
     I.flow_documents(spark, d).repartition(3, "value").write.text(source)
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(source)
-    docs = flow_batches.parse_flow_batches(lines).withColumn("at", F.timestamp_seconds(F.col("timestamp") + 86400))
-    sinks.run_available(flow_batches.explode_batches(st.new_batches(docs, "at", late="30 days")), folder, "append")
+    timed = lambda lines: flow_batches.parse_flow_batches(lines).withColumn(
+        "at", F.timestamp_seconds(F.col("timestamp") + 86400)
+    )
+    docs = timed(spark.readStream.option("maxFilesPerTrigger", 1).text(source))
+    late = _span(timed(spark.read.text(source)), "at")
+    sinks.run_available(flow_batches.explode_batches(st.new_batches(docs, "at", late=late)), folder, "append")
     return sinks.read_all(spark, folder).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
 
 

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
 from flowscope.operators import policy, prefixes, series
 from flowscope.plans import inputs as I
 from flowscope.session import shared_folder
 from flowscope.streaming import deltas, sinks
 from flowscope.streaming import operators as st
+from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,3 +137,13 @@ def test_shared_folder_follows_the_session_setting():
     with pytest.raises(ValueError):
         shared_folder(_Conf("spark://x"), "x")
     assert shared_folder(_Conf("local[2]"), "x") != shared_folder(_Conf("local[2]"), "x")
+
+
+@pytest.mark.parametrize("name", ["stream_rate", "stream_dedup"])
+def test_no_row_is_late_however_long_the_table(spark, tmp_path, name):
+    """Event ids, and with them both time axes, are spread over more than nine months."""
+    path = str(tmp_path / "events.parquet")
+    I.table(spark, SF, "events").withColumn("event_id", F.col("event_id") * 1_000_003).coalesce(1).write.parquet(path)
+    con = duck(SF)
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert compare(queries()[name](spark, str(tmp_path)), con, oracle_sql()[name]) is None
