@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and strings of high entropy; DataFrame functions only, and nothing is shuffled.
 
 A pattern's matches get their places from the lengths of what ``split`` leaves between them.  Candidate strings that no
-pattern covers are judged by the Shannon entropy of a window that slides over them: a character that enters and one that
+pattern covers, and the segments of paths by themselves, are judged by the Shannon entropy of a window that slides over them: a character that enters and one that
 leaves change two counts and the sum the entropy is made of.  The bound depends on the character class of the string.
 An allow-list keeps out what is random by nature but no secret.  It never touches pattern matches.
 """
@@ -27,12 +27,18 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 # character class of a candidate, and the entropy in bits that a window of it must reach
 CLASSES = [("^[0-9A-Fa-f]+$", 3.0), ("^[A-Za-z0-9]+$", 3.7), ("^[A-Za-z0-9+/_=-]+$", 3.8)]
+# A word is of one case, capitalised or in camel case with humps that are not short; possessive, so nothing backtracks.
+SHORT = "By|Of|Is|To|In|On|At|Id|Or|If|As|An|No|Tag|Map|Key|Set|Get|Url|Max|Min|New|Add|For|And|The|Not|All|Any|Row|Day|Out|Top|End"
+CAMEL = f"[a-z]*+(?:[A-Z]{{1,5}}[a-z]{{3,}}+|(?:{SHORT})(?![a-z]))++[A-Z]{{0,4}}"
+WORD = f"(?:[A-Z]?[a-z]++|[A-Z]++|{CAMEL})(?![A-Za-z])"
+SEGMENT = f"[_-]*+{WORD}(?:[_-]++{WORD})*+[_-]*+[0-9]{{0,4}}"
+UUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
 ALLOWED = [
-    "^[^0-9]*$", "^[^A-Za-z]*$",  # words, numbers
-    "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",  # UUID
-    "(?i)example|dummy|sample|placeholder|changeme|xxxx",
-    "^[A-Za-z]*[0-9]{1,4}$", "^/?([A-Za-z_-]+[0-9]{0,4}/)+[A-Za-z0-9_-]*$",  # a word with a number, a path of words
+    f"^[+/_=-]*+{WORD}(?:[+/_=-]++{WORD})*+[+/_=-]*+$", "^[^A-Za-z]*$",  # words, numbers
+    f"^{UUID}$", f"^{WORD}[0-9]{{1,4}}$",  # a word with a number
+    f"^/?(?:{SEGMENT}/)++(?:(?:{SEGMENT})?(?:[_-][0-9]{{1,4}}){{0,3}}|[0-9]++(?:[_-][0-9]++)*+|{UUID})$",  # a path of words
 ]
+PLACEHOLDER = "(?i)example|dummy|sample|placeholder|changeme|xxxx"
 
 
 def match_spans(text: Column, pattern: str, kind: int, keep_group: int | None = None, least: int = 0) -> Column:
@@ -85,7 +91,8 @@ def window_entropy(string: Column, window: int = WINDOW) -> Column:
 
 def is_random(string: Column) -> Column:
     """A candidate that the allow-list lets pass and one of whose windows is random for its character class."""
-    allowed = F.lit(False)
+    segments = F.split(string, "/")
+    allowed = F.exists(segments, lambda x: x.rlike(PLACEHOLDER) & ~x.rlike(f"^{SEGMENT}$"))
     for pattern in ALLOWED:
         allowed = allowed | string.rlike(pattern)
     bound = F.when(string.rlike(CLASSES[0][0]), CLASSES[0][1])
@@ -94,11 +101,49 @@ def is_random(string: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(string) >= bound)
 
 
+def _part(start: Column, stop: Column, match: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(3).alias("kind"), stop.alias("stop"), match.alias("match"))
+
+
+def outside(string: Column, base: Column) -> Column:
+    """The parts of a candidate between the base spans, in order, that are still long enough to be candidates."""
+    touched = F.filter(base, lambda b: (b["start"] < string["stop"]) & (string["start"] < b["stop"]))
+
+    def gap(at: Column, upto: Column) -> Column:
+        return _part(at, upto, F.substring(string["match"], (at - string["start"] + 1).cast("int"), (upto - at).cast("int")))
+
+    start = F.struct(string["start"].alias("at"), F.expr(NO_SPANS).alias("out"))
+    step = lambda state, b: F.struct(
+        F.greatest(state["at"], b["stop"]).alias("at"), F.array_append(state["out"], gap(state["at"], b["start"])).alias("out")
+    )
+    cut = F.aggregate(F.array_sort(touched), start, step, lambda s: F.array_append(s["out"], gap(s["at"], string["stop"])))
+    parts = F.when(F.size(touched) == 0, F.array(_part(string["start"], string["stop"], string["match"]))).otherwise(cut)
+    return F.filter(parts, lambda s: s["stop"] - s["start"] >= WINDOW)
+
+
+def random_parts(string: Column) -> Column:
+    """Random segments of a candidate if there is nothing but words beside them, else the candidate if it is random.
+
+    A secret may itself hold slashes: a candidate is judged whole too, however short its segments are.
+    """
+    long = F.filter(match_spans(string["match"], f"[^/]{{{WINDOW},}}", 3), lambda x: is_random(x["match"]))
+    moved = F.transform(long, lambda x: _part(string["start"] + x["start"], string["start"] + x["stop"], x["match"]))
+
+    def choose(found: Column) -> Column:
+        known = F.transform(found, lambda x: x["match"])
+        words = F.forall(F.split(string["match"], "/"), lambda x: (x == "") | x.rlike(f"^{SEGMENT}$") | F.array_contains(known, x))
+        whole = F.array(_part(string["start"], string["stop"], string["match"]))
+        return F.when((F.size(found) > 0) & words, found).when(
+            string["match"].contains("/") & is_random(string["match"]), whole).otherwise(found)
+
+    return F.flatten(F.transform(F.array(moved), choose))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, spans) for every row of ``docs``: array of (kind, start, stop), in code points, by start and kind.
 
-    ``assign``, ``access`` and ``hex`` are the pattern matches; ``entropy`` spans are candidate strings apart from
-    these.  Null and empty texts have no spans.  Every row gives one row, repeated ones and those without an id too.
+    ``assign``, ``access`` and ``hex`` are the pattern matches; ``entropy`` spans are random strings in what these leave
+    of the candidates.  Letters of a single case count as words, also where they are random.  Null and empty texts have no spans.  Every row gives one row, repeated ones and those without an id too.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_column(docs, text).alias("text"))
     return with_spans(rows).select(F.col("id").alias(id_col), "spans")
@@ -115,10 +160,8 @@ def with_spans(rows: DataFrame) -> DataFrame:
     hexes = F.when(body.rlike(HEX), match_spans(body, HEX, 2)).otherwise(none)
     found = rows.select("*", F.concat(assign, access, hexes).alias("base"))
     strings = F.when(body.rlike(CANDIDATE), match_spans(body, CANDIDATE, 3)).otherwise(none)
-    found = found.select("*", F.filter(strings, lambda s: ~F.exists(
-        F.col("base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
-    )).alias("candidates"))
-    more = F.filter("candidates", lambda s: is_random(s["match"]))
+    found = found.select("*", F.flatten(F.transform(strings, lambda s: outside(s, F.col("base")))).alias("candidates"))
+    more = F.flatten(F.transform("candidates", random_parts))
     ordered = F.array_sort(F.concat(F.col("base"), more))
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(ordered, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
