@@ -12,15 +12,15 @@ from pyspark.sql import types as T
 from flowscope.functions import labels, net
 from flowscope.functions.hashing import CmsSpec, HllSpec
 from flowscope.operators import countmin as cm
-from flowscope.operators import detect, peers, policy, prefixes, report, rollup, scenario, series
+from flowscope.operators import anchors, detect, peers, policy, prefixes, report, rollup, scenario, series
 from flowscope.operators import loglog as ll
 from flowscope.plans import inputs as I
 from flowscope.session import shared_folder, use_utc
 from flowscope.sources import flow_batches, snapshots, summaries, telemetry
 from flowscope.sources import frames as frame_source
+from flowscope.streaming import anchored, rule_state, sinks
 from flowscope.streaming import deltas as stream_deltas_op
 from flowscope.streaming import operators as st
-from flowscope.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -708,6 +708,7 @@ def scenario_compare(spark, d):
 
 
 FILES = 4
+ROWS_PER_FILE = 1_000_000
 
 
 def _stream(spark, d, name="events"):
@@ -723,10 +724,20 @@ def _event_stream(spark, d):
     return I.event_flows(_stream(spark, d))
 
 
-def _span(rows, ts):
-    """Lateness that covers the whole time of a table whose files come in no order: no row is ever late."""
-    at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    return f"{rows.agg(F.coalesce(F.max(at) - F.min(at), F.lit(0))).first()[0] + 2} seconds"
+LATE = "10 seconds"
+
+
+def _in_time_order(spark, rows, ts):
+    """``rows`` as a stream of micro-batches that follow each other in time, as they would arrive."""
+    sinks.use_rocksdb(spark)
+    source = shared_folder(spark, "arrivals")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
+    part = F.coalesce(F.floor((at - (span.lo or 0)) * FILES / ((span.hi or 0) - (span.lo or 0) + 1)), F.lit(0))
+    files = 1 + span.n // (FILES * ROWS_PER_FILE)  # of each part: a micro-batch takes exactly one part
+    for i in range(FILES):
+        rows.where(part == i).repartition(files).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
 
 
 def _current(spark, stream, name, keys):
@@ -738,8 +749,8 @@ def _current(spark, stream, name, keys):
 
 @query
 def stream_flow_windows(spark, d):
-    """Every window, those that are open at the end too; files are out of order, so lateness covers the table's span."""
-    windows = st.flow_windows(_event_stream(spark, d), late="40 days")
+    """Every window aligned to the epoch, those that are open at the end too."""
+    windows = st.flow_windows(_in_time_order(spark, I.flows(spark, d), "ts"), late=LATE)
     return _current(spark, windows, "flow-windows", ["window_start", "window_end", "agent_id", *rollup.FIVE_TUPLE])
 
 
@@ -763,9 +774,8 @@ def stream_sketches(spark, d):
 
 @query
 def stream_rate(spark, d):
-    """Every window; the time grows with the table, and so does the lateness that its files need."""
-    messages = _event_stream(spark, d).select(F.col("live_ts").alias("ts"), "bytes")
-    rates = st.sliding_rate(messages, late=_span(I.flows(spark, d), "live_ts"))
+    messages = I.flows(spark, d).select(F.col("live_ts").alias("ts"), "bytes")
+    rates = st.sliding_rate(_in_time_order(spark, messages, "ts"), late=LATE)
     return _current(spark, rates, "rate", ["window_start", "window_end"])
 
 
@@ -801,7 +811,7 @@ def stream_policy(spark, d):
     rules_at, out = shared_folder(spark, "rules"), shared_folder(spark, "policy")
     events = _event_stream(spark, d)
     rules = policy.normalize_policy_events(events.where(I.POLICY_CHOICE).selectExpr(*I.POLICY_EVENTS))
-    sinks.run_available(st.sliced_rules(rules), rules_at, "append", partition_by=["rule_slice"])
+    sinks.run_available(st.sliced_rules(rules), rules_at, "append", partition_by=["rule_day"])
     traffic = events.select("event_id", "ts", "src_ip", "bytes")
     sinks.run_available(traffic, out, "append", st.policy_batch(rules_at, rules.schema))
     return sinks.read_all(spark, out).select("event_id", "dropped")
@@ -810,25 +820,48 @@ def stream_policy(spark, d):
 @query
 def stream_dedup(spark, d):
     """Documents arrive in several files, some twice; whole documents are dropped, then flows exploded."""
-    folder, source = shared_folder(spark, "dedup"), shared_folder(spark, "flow-documents")
-    I.flow_documents(spark, d).repartition(3, "value").write.text(source)
+    folder = shared_folder(spark, "dedup")
     timed = lambda lines: flow_batches.parse_flow_batches(lines).withColumn(
         "at", F.timestamp_seconds(F.col("timestamp") + 86400)
     )
-    docs = timed(spark.readStream.option("maxFilesPerTrigger", 1).text(source))
-    late = _span(timed(spark.read.text(source)), "at")
-    sinks.run_available(flow_batches.explode_batches(st.new_batches(docs, "at", late=late)), folder, "append")
+    lines = I.flow_documents(spark, d)
+    stamp = F.regexp_extract("value", '"timestamp":([0-9]+)', 1).cast("bigint")
+    arrived = _in_time_order(spark, lines.withColumn("sent", F.timestamp_seconds(stamp)), "sent").drop("sent")
+    docs = timed(arrived)
+    sinks.run_available(flow_batches.explode_batches(st.new_batches(docs, "at", late=LATE)), folder, "append")
     return sinks.read_all(spark, folder).select("agent", "batch_ts", "src_ip", "dst_ip", "bytes")
 
 
 @query
 def stream_deltas(spark, d):
-    """Snapshots in files that cut through polls and keys, in no order: every file is late for some."""
-    folder, source = shared_folder(spark, "deltas"), shared_folder(spark, "snapshots")
-    table = I.snapshots(spark, d)
-    table.repartition(FILES, "poll_id", "src_ip").write.parquet(source)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sinks.run_available(
-        stream, folder, "append", stream_deltas_op.delta_batch(folder, polls=40), keys=[*stream_deltas_op.KEYS, "poll_id"]
-    )
+    """Snapshots of a poll arrive over three days, mixed with those of the polls around it."""
+    folder, day = shared_folder(spark, "deltas"), 86400
+    polled = I.snapshots(spark, d).withColumn("polled", F.timestamp_seconds(F.col("poll_id") * day))
+    sent = F.timestamp_seconds((F.col("poll_id") + F.pmod(F.hash("src_ip"), F.lit(3))) * day)
+    arrived = _in_time_order(spark, polled.withColumn("sent", sent), "sent")
+    deltas = stream_deltas_op.stream_deltas(arrived, "polled", late="4 days", keep_ms=2 * day * 1000, polls=40)
+    sinks.run_available(deltas, folder, "update", keys=[*stream_deltas_op.KEYS, "poll_id"])
     return stream_deltas_op.read_deltas(spark, folder)
+
+
+@query
+def stream_rule_expiry(spark, d):
+    """Rules that have ended by the time the stream has reached: the newest event less the lateness."""
+    folder = shared_folder(spark, "rule-ends")
+    rules = policy.normalize_policy_events(I.policy_events(spark, d))
+    sinks.run_available(rule_state.rule_ends(_in_time_order(spark, rules, "ts"), late=LATE), folder, "append")
+    return sinks.read_all(spark, folder)
+
+
+@query
+def flow_windows_anchored(spark, d):
+    return anchors.anchored_windows(I.flows(spark, d), ts="live_ts")
+
+
+@query
+def stream_flow_windows_anchored(spark, d):
+    """In time order; a window that spans micro-batches is carried over, those open at the end are flushed."""
+    folder = shared_folder(spark, "anchored")
+    flows = _in_time_order(spark, I.flows(spark, d), "live_ts")
+    sinks.run_available(flows, folder, "append", anchored.anchored_batch(folder, ts="live_ts"))
+    return anchored.read_anchored(spark, folder)

@@ -570,3 +570,23 @@ check("stream_rate", "window_start:t window_end:t rate:d mbps:d",
 check("stream_agent_state", "agent_id:s cpu:d bytes:l last_ts:t",
       "SELECT agent_id, arg_max(k + 0.5, (ts, event_id)) AS cpu, arg_max(bytes, (ts, event_id)) AS bytes, max(ts) AS last_ts FROM flows GROUP BY 1")
 check("stream_counters", "metric:s label:s value:l", _COUNTERS.format("flows"))
+
+_ENDED = ("SELECT *, CASE WHEN nxt <= expiry THEN nxt ELSE expiry END AS end_ts FROM (SELECT *, lead(ts) OVER w AS nxt, lead(action) OVER w AS next_action FROM rules "
+          "WINDOW w AS (PARTITION BY ip ORDER BY ts, seq)) AS r WHERE action = 'block'")
+check("stream_rule_expiry", "ip:s from_ts:t end_ts:t reason:s",
+      "SELECT ip, ts AS from_ts, end_ts, CASE WHEN nxt <= expiry THEN CASE next_action WHEN 'block' THEN 'replaced' ELSE 'deleted' END ELSE 'expired' END AS reason "
+      f"FROM ({_ENDED}) AS e WHERE end_ts > ts AND end_ts <= (SELECT max(ts) FROM rules) - INTERVAL 10 SECONDS")
+_ANCHORED = (
+    "SELECT agent_id, make_timestamp(start * 1000000) AS window_start, make_timestamp(next * 1000000) AS window_end, "
+    f"{FIVE}, sum(bytes) AS bytes, sum(packets) AS packets, min(live_ts) AS first_seen, max(live_ts) AS last_seen FROM ("
+    "WITH RECURSIVE secs AS (SELECT DISTINCT agent_id, CAST(floor(epoch_us(live_ts) / 1000000) AS BIGINT) AS s FROM flows), "
+    "hops AS (SELECT a.agent_id, a.s, b.s AS next FROM secs AS a ASOF LEFT JOIN (SELECT agent_id, s, s - 30 AS at FROM secs) AS b "
+    "ON a.agent_id = b.agent_id AND a.s <= b.at), "
+    "chain AS (SELECT agent_id, min(s) AS s FROM secs GROUP BY agent_id UNION ALL "
+    "SELECT h.agent_id, h.next FROM chain AS c JOIN hops AS h ON h.agent_id = c.agent_id AND h.s = c.s WHERE h.next IS NOT NULL), "
+    "spans AS (SELECT c.agent_id, c.s AS start, h.next FROM chain AS c JOIN hops AS h ON h.agent_id = c.agent_id AND h.s = c.s) "
+    "SELECT f.*, start, next FROM flows AS f JOIN spans AS p ON p.agent_id = f.agent_id AND epoch_us(f.live_ts) >= start * 1000000 "
+    f"AND (next IS NULL OR epoch_us(f.live_ts) < next * 1000000)) AS m GROUP BY agent_id, start, next, {FIVE}")
+_ANCHORED_COLS = "agent_id:s window_start:t window_end:t " + _FIVE + " bytes:l packets:l first_seen:t last_seen:t"
+check("flow_windows_anchored", _ANCHORED_COLS, _ANCHORED)
+check("stream_flow_windows_anchored", _ANCHORED_COLS, _ANCHORED)

@@ -284,9 +284,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(kind == 3, v6).when(kind == 4, F.lit("0806" + "00" * 28)).otherwise(v4)
     wire = (F.lit(60) + F.col("bytes") % 1400).cast("bigint")
-    return f.select(
-        "event_id", "ts", wire.alias("wire_len"), F.unhex(F.concat(F.lit("ff" * 6 + "02" * 6), body)).alias("frame")
-    )
+    # behind a generator the frame is built once, not again in every field and filter that is read from it
+    frame = F.explode(F.array(F.unhex(F.concat(F.lit("ff" * 6 + "02" * 6), body))))
+    return f.select("event_id", "ts", wire.alias("wire_len"), frame.alias("frame"))
 
 
 def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,32 +104,36 @@ def new_batches(docs: DataFrame, ts: str, keys=("agent", "timestamp"), late: str
     return docs.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+RULE_DAY = 24 * 3600
+
+
 def sliced_rules(rules: DataFrame, max_ttl: int = MAX_TTL) -> DataFrame:
-    """Rules with the time slice that their table is partitioned by."""
-    return rules.withColumn("rule_slice", time_slice("ts", max_ttl))
+    """Rules with their time slice, and the day that their table is partitioned by."""
+    return rules.withColumn("rule_slice", time_slice("ts", max_ttl)).withColumn("rule_day", time_slice("ts", RULE_DAY))
 
 
 def policy_batch(folder: str, rule_schema, max_ttl: int = MAX_TTL):
     """Per-micro-batch blocklist application against the rules that ``sliced_rules`` wrote to ``folder``.
 
     A rule is in force for at most ``max_ttl``, one slice: only the slices of the batch and the one before are read, by
-    partition.  Before the first rule nothing is dropped.  Traffic meets the rules that are written when its batch
-    starts; what it must not miss has to be written before, by running the rule stream ahead of it.  The rule state
-    lives in that shared table, and the traffic is matched by the same sliced equality join as in batch, so a hot source
-    is not one state key.
+    the partition of their day and by row group.  Before the first rule nothing is dropped.  Traffic meets the rules that
+    are written when its batch starts; what it must not miss has to be written before, by running the rule stream ahead
+    of it.  The rule state lives in that shared table, and the traffic is matched by the same sliced equality join as in
+    batch, so a hot source is not one state key.
     """
 
     def apply(batch: DataFrame, epoch: int) -> DataFrame:
         spark = batch.sparkSession
-        columns = T.StructType([*rule_schema.fields, T.StructField("rule_slice", T.LongType())])
+        added = [T.StructField("rule_slice", T.LongType()), T.StructField("rule_day", T.LongType())]
         if not sinks.exists(spark, f"{folder}/data"):
             return batch.withColumn("dropped", F.lit(False))
-        batch = batch.persist()  # read once, for its slices and for the join
-        span = batch.agg(F.min(time_slice("ts", max_ttl)).alias("lo"), F.max(time_slice("ts", max_ttl)).alias("hi")).first()
+        at, day = time_slice("ts", max_ttl), lambda c: time_slice(F.timestamp_seconds(c * max_ttl), RULE_DAY)
+        span = batch.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).select(
+            "lo", "hi", day(F.col("lo") - 1).alias("first_day"), day(F.col("hi") + 1).alias("last_day")).first()
         if span.lo is None:
             return batch.withColumn("dropped", F.lit(False))
-        rules = spark.read.schema(columns).parquet(f"{folder}/data")
-        live = rules.where(F.col("rule_slice").between(span.lo - 1, span.hi)).drop("rule_slice", "epoch")
-        return policy_apply(batch, live, max_ttl=max_ttl)
+        rules = spark.read.schema(T.StructType([*rule_schema.fields, *added])).parquet(f"{folder}/data")
+        live = rules.where(F.col("rule_day").between(span.first_day, span.last_day) & F.col("rule_slice").between(span.lo - 1, span.hi))
+        return policy_apply(batch, live.drop("rule_slice", "rule_day", "epoch"), max_ttl=max_ttl)
 
     return apply

@@ -97,8 +97,13 @@ def start(stream: DataFrame, folder: str, mode: str = "update",
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = transform(batch, epoch) if transform else batch
+        read_often = batch.persist() if transform else batch
+        rows = transform(read_often, epoch) if transform else batch
+        if partition_by:
+            rows = rows.repartition(*partition_by)  # one file for each value
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/data/epoch={epoch}")
+        if transform:
+            read_often.unpersist()
         if keys and epoch and epoch % COMPACT == 0:
             compact(batch.sparkSession, folder, keys, epoch)
 
@@ -107,8 +112,11 @@ def start(stream: DataFrame, folder: str, mode: str = "update",
     return writer.start()
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "update", transform=None, keys=(), partition_by=()) -> None:
-    start(stream, folder, mode, transform, None, keys, partition_by).awaitTermination()
+def run_available(stream: DataFrame, folder: str, mode: str = "update", transform=None, keys=(), partition_by=()):
+    """Process what is there and return the finished query."""
+    finished = start(stream, folder, mode, transform, None, keys, partition_by)
+    finished.awaitTermination()
+    return finished
 
 
 def read_all(spark: SparkSession, folder: str) -> DataFrame:
