@@ -9,7 +9,6 @@ in a bounded table, so that only new words are merged.  No document is cut short
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowscope.llm.common import ship_code, text_column
 
@@ -52,6 +52,7 @@ class MergeTable:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.normalizer = Tokenizer.from_file(path).normalizer  # its Unicode tables may be newer than Python's
         self.counts: dict[str, int] = {}
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +105,7 @@ class MergeTable:
         owners, pieces, distinct = [], [], {}
         new = list(new)
         for i, word in enumerate(new):
-            for piece in self.split(fold(word)):
+            for piece in self.split(word.lower() if word.isascii() else self.normalizer.normalize_str(word)):
                 owners.append(i)
                 pieces.append(distinct.setdefault(piece, len(distinct)))
         total = np.zeros(len(new), np.int64)
@@ -131,13 +132,6 @@ class MergeTable:
         return [n + sum(map(get, row)) for n, row in zip(extra, parts, strict=True)]
 
 
-def fold(word: str) -> str:
-    """Canonical composition, then each character lowered by itself (no final-sigma rule)."""
-    if word.isascii():
-        return word.lower()
-    return unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-
-
 _UNICODE_SPACE = regex.compile(r"\s+")
 _INFO_SEPARATORS = regex.compile("[\x1c-\x1f]")
 

@@ -48,6 +48,23 @@ def test_counts_of_odd_rows(spark, merges):
     assert count_tokens(df.limit(0), WORDS, 1).count() == 0
 
 
+def test_counts_of_every_character(merges):
+    table, library = merges
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}." for c in points[at : at + 100_000]]
+        want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        wrong = [hex(points[at + i]) for i, (a, b) in enumerate(zip(table.count(texts), want, strict=True)) if a != b]
+        assert not wrong
+
+
+def test_token_count_query(spark, merges):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op10_token_counts"](spark, SF).collect()}
+    want = {i: (len(t.encode()), len(merges[1].encode(t, add_special_tokens=False).ids)) for i, t in texts.items()}
+    assert got == {i: (b, n, n > 2048) for i, (b, n) in want.items()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_ids_equal_the_library(text):
