@@ -26,20 +26,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs, model, "quality_score").where("quality_score >= 0.5").drop("quality_score")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``document_key``, 64 hash bits of id and text: a row without an id, or one that shares its id with
+    another text, is a document of its own."""
+    return docs.withColumn("document_key", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays; of repeated rows of an id, one."""
-    groups = jaccard_components(docs)
-    stay = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("stay_id")).agg(F.count("*").alias("stay_rows"))
-    kept = docs.join(stay, docs["doc_id"] == stay["stay_id"])
-    once = kept.where("stay_rows = 1").select(*docs.columns)
-    again = kept.where("stay_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.where("doc_id is null"))
+    """Of each group of near duplicates one document stays: that with the smallest id, rows without an id coming last and
+    the key deciding between texts of one id.  Of rows equal in id and text the smallest by the other columns stays."""
+    rows = keyed(docs)
+    groups = jaccard_components(rows, id_col="document_key").groupBy("document_key").agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("copies"))
+    ids = rows.select("document_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "document_key", "copies")
+    stay = groups.join(ids, "document_key").groupBy("component_id").agg(F.min(order).alias("first")).select(
+        F.col("first.document_key").alias("stay_key"), F.col("first.copies").alias("copies"))
+    kept = rows.join(stay, rows["document_key"] == stay["stay_key"])
+    once = kept.where("copies = 1").select(*docs.columns)
+    again = kept.where("copies > 1").groupBy("document_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.union(again.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti")
+    """Documents that hold a benchmark item go, each row judged by its own text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = keyed(docs)
+    found = find_items(rows, items, id_col="document_key").select("document_key").distinct()
+    return rows.join(found, "document_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
