@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,7 @@ def prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _LOWER_TABLE = np.arange(256, dtype=np.uint8)
 _LOWER_TABLE[65:91] += 32
+POLYNOMIAL_BYTES = 256  # polynomials modulo 2^64 have known collisions on long regular strings
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -111,8 +113,13 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     inside = ~_IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
     start, end = edges[::2], edges[1::2]
-    sums, down = prefix_sums(BYTE_CODES[_LOWER_TABLE[data]])
-    return mix((sums[end] - sums[start]) * down[start])
+    lowered = _LOWER_TABLE[data]
+    sums, down = prefix_sums(BYTE_CODES[lowered])
+    hashes = mix((sums[end] - sums[start]) * down[start])
+    for i in np.flatnonzero(end - start > POLYNOMIAL_BYTES):
+        digest = blake2b(lowered[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = np.frombuffer(digest, np.uint64)[0]
+    return hashes
 
 
 def shingle_hashes(data: np.ndarray, size: int = 5) -> np.ndarray:

@@ -417,11 +417,26 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     """
     named, sets = jaccard_sets(docs, shingle, percent, id_col, text)
     classes = named.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    links = jaccard_links(sets, percent)
+    mixed = _mixed_ids(named)
+    links = jaccard_links(sets, percent).union(_links_of_ids(named, mixed))
     for end in ("a", "b"):
         links = links.join(classes.select(F.col("set_id").alias(end), F.col("node").alias(f"node_{end}")), end)
     components = materialize(connected_components(links, "node_a", "node_b"), "jaccard-components")
     classes = classes.join(components, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    rows = named.join(classes, "set_id", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    of_mixed = mixed.join(classes.withColumnRenamed("set_id", "lowest"), "lowest").select("doc_id", F.col("component_id").alias("of_id"))
+    rows = named.join(classes, "set_id", "left").join(of_mixed, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_id", "component_id", "doc_id"))
     return rows.select(F.col("doc_id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+
+
+def _mixed_ids(named: DataFrame) -> DataFrame:
+    """(doc_id, lowest): ids whose rows have different sets, or sets and none, and the lowest of their sets."""
+    per_id = named.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("set_id").alias("lowest"), F.max("set_id").alias("highest"), F.count("set_id").alias("filled"), F.count("*").alias("rows")
+    )
+    return materialize(per_id.where("lowest <> highest or filled between 1 and rows - 1").select("doc_id", "lowest"), "jaccard-mixed-ids")
+
+
+def _links_of_ids(named: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Links between the sets of one id."""
+    return named.join(mixed, "doc_id").where("set_id <> lowest").select(F.col("set_id").alias("a"), F.col("lowest").alias("b")).distinct()

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from flowscope.llm import jaccard_join
 from flowscope.llm.jaccard_join import jaccard_components, join_region
+from flowscope.llm.queries import QUERIES
 from tests.llm.brute import jaccard_components as plain
 
 
@@ -67,3 +68,25 @@ def test_region_join_connects_all_links(sets):
 
     wanted = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert smallest_reachable(ids, links) == smallest_reachable(ids, wanted)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, ""), (8, None), (2, ""), (1, b + " x"), (None, c)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 1), (3, 1), (5, 1), (7, 1), (8, 8), (9, 8), (2, 2), (None, None)}
+
+
+def test_long_words_with_equal_polynomials_differ(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba")))]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op1_ngram_jaccard_join"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == plain(docs)

@@ -73,3 +73,22 @@ def test_odd_documents(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count() > 20
     assert sum(r.doc_id == 5000 for r in docs.collect()) <= 1
+
+
+def test_rows_without_an_id_and_rows_of_one_id_are_judged_singly(spark, tmp_path):
+    """One hit or one copy takes away that row, not those that share its id or have none either."""
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = benchmark.first().text
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, say("a")), (None, f"{say('b')} {item}"), (None, say("c")), (None, say("a")), (7, say("d")), (7, f"{item} {say('e')}"),
+            (7, say("f")), (3, say("f") + " end"), (9, say("g")), (9, say("g")), (5, None), (None, None), (None, "")]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    single = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert single.columns == docs.columns
+    short = lambda df: sorted(((r.doc_id or 0), (r.text or "")[:3]) for r in df.collect())
+    assert short(single) == sorted([(0, "a"+"w0"), (0, "bw0"), (0, "cw0"), (7, "dw0"), (7, item[:3]), (3, "fw0"), (9, "gw0"), (5, ""), (0, ""), (0, "")])
+    path = str(tmp_path / "single")
+    single.write.parquet(path)
+    clean = corpus_pipeline.decontaminate(spark, spark.read.parquet(path), SF)
+    assert short(clean) == sorted([(0, "aw0"), (0, "cw0"), (7, "dw0"), (3, "fw0"), (9, "gw0"), (5, ""), (0, ""), (0, "")])
