@@ -13,12 +13,14 @@ from flowscope.functions import labels, net
 from flowscope.functions.hashing import CmsSpec, HllSpec
 from flowscope.operators import countmin as cm
 from flowscope.operators import anchors, detect, peers, policy, prefixes, report, rollup, scenario, series
+from flowscope.operators import distinct_ranges as ranges_of
 from flowscope.operators import loglog as ll
+from flowscope.operators.sliced import time_slice
 from flowscope.plans import inputs as I
 from flowscope.session import shared_folder, use_utc
-from flowscope.sources import flow_batches, snapshots, summaries, telemetry
+from flowscope.sources import dump_stream, flow_batches, snapshots, summaries, telemetry
 from flowscope.sources import frames as frame_source
-from flowscope.streaming import anchored, rule_state, sinks
+from flowscope.streaming import anchored, reports, rule_state, sinks
 from flowscope.streaming import deltas as stream_deltas_op
 from flowscope.streaming import operators as st
 
@@ -279,6 +281,23 @@ def approx_unique_flows(spark, d):
     return rows.select("exact", near("approx_flows"), near("datasketch_flows"))
 
 
+RANGE_EVERY, RANGE_MOST = 29, 500
+
+
+@query
+def distinct_over_ranges(spark, d):
+    """Intervals of 1 to 500 hours, each starting at an event: exact counts, and whether the estimate is close enough."""
+    rows = I.flows(spark, d)
+    first = time_slice("ts", 3600)
+    asked = rows.where(F.col("event_id") % RANGE_EVERY == 0).select(
+        F.col("event_id").alias("id"), first.alias("lo"), (first + 1 + F.col("event_id") * 37 % RANGE_MOST).alias("hi"))
+    ranges = ranges_of.build_ranges(rows, net.flow_key(), levels=10)
+    got = ranges_of.distinct_in(ranges, asked).join(ranges_of.exact_in(rows, net.flow_key(), asked, levels=10), "id").join(asked, "id")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= ranges_of.relative_error(ranges.lg_k) * F.col("exact") + 1
+    few = F.col("runs") <= 2 * F.ceil(F.log2(F.col("hi") - F.col("lo") + 1))
+    return got.select("id", "lo", "hi", "exact", near.alias("near"), few.alias("few_runs"))
+
+
 @query
 def sketch_memory(spark, d):
     return ll.sketch_memory(I.flows(spark, d))
@@ -370,7 +389,7 @@ def dedup_batches(spark, d):
 
 @query
 def src_counter_snapshots(spark, d):
-    return snapshots.decode_counter_dumps(I.counter_dumps(spark, d))
+    return snapshots.decode_counter_dumps(I.counter_dumps(spark, d).drop("part"))
 
 
 @query
@@ -865,3 +884,24 @@ def stream_flow_windows_anchored(spark, d):
     flows = _in_time_order(spark, I.flows(spark, d), "live_ts")
     sinks.run_available(flows, folder, "append", anchored.anchored_batch(folder, ts="live_ts"))
     return anchored.read_anchored(spark, folder)
+
+
+@query
+def stream_reports(spark, d):
+    """A report after each of the micro-batches, and the final one."""
+    folder = shared_folder(spark, "reports")
+    sinks.run_available(_in_time_order(spark, I.flows(spark, d), "ts"), folder, "append", reports.report_batch(folder))
+    return reports.read_reports(spark, folder)
+
+
+@query
+def stream_counter_dumps(spark, d):
+    """Dumps dropped into a folder; the stream stops, more come (some again under new names), and it goes on."""
+    folder, inbox = shared_folder(spark, "dump-entries"), shared_folder(spark, "dumps")
+    sinks.use_rocksdb(spark)
+    dumps = I.counter_dumps(spark, d).select(F.col("dump").alias("value"), "agent_id", "poll_id", (F.col("poll_id") * 86400).alias("polled"), "part")
+    for arrived in ("poll_id <= 15", "poll_id >= 13"):
+        dumps.where(arrived).write.mode("append").partitionBy("agent_id", "poll_id", "polled", "part").text(inbox)
+        entries = dump_stream.stream_counter_dumps(spark, inbox, per_trigger=40, late="20 days")
+        sinks.run_available(entries, folder, "append")
+    return sinks.read_all(spark, folder)

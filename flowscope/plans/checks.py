@@ -590,3 +590,20 @@ _ANCHORED = (
 _ANCHORED_COLS = "agent_id:s window_start:t window_end:t " + _FIVE + " bytes:l packets:l first_seen:t last_seen:t"
 check("flow_windows_anchored", _ANCHORED_COLS, _ANCHORED)
 check("stream_flow_windows_anchored", _ANCHORED_COLS, _ANCHORED)
+CHECKS["stream_counter_dumps"] = CHECKS["src_counter_snapshots"]
+check("distinct_over_ranges", "id:l lo:l hi:l exact:l near:b few_runs:b",
+      "SELECT i.id, i.lo, i.hi, count(DISTINCT k.flow) AS exact, true AS near, true AS few_runs FROM (SELECT id, lo, lo + 1 + id * 37 % 500 AS hi FROM "
+      "(SELECT event_id AS id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS lo FROM flows WHERE event_id % 29 = 0) AS e) AS i LEFT JOIN "
+      "(SELECT DISTINCT flow, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS slot FROM keyed) AS k ON k.slot >= i.lo AND k.slot < i.hi GROUP BY 1, 2, 3")
+cte("arrivals", "SELECT *, CAST(floor((epoch_us(ts) - lo) * 4 / (hi - lo + 1)) AS BIGINT) AS part FROM keyed, "
+    "(SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM flows) AS s")
+cte("reported", "SELECT report, a.* FROM arrivals AS a, (SELECT unnest([0, 1, 2, 3, NULL]) AS report) AS r WHERE coalesce(report, 3) >= part")
+_REPORT_DIMS = " UNION ALL ".join(
+    f"SELECT report, '{n}' AS dimension, CAST({c} AS VARCHAR) AS value FROM reported"
+    for n, c in (("src_ips", "src_ip"), ("dst_ips", "dst_ip"), ("src_ports", "src_port"), ("dst_ports", "dst_port"), ("flows", "flow")))
+_DIMS = ("src_ips", "dst_ips", "src_ports", "dst_ports", "flows")
+check("stream_reports", "report:l total_flows:l total_bytes:l total_packets:l " + " ".join(f"unique_{n}:l" for n in _DIMS) + " diversity_score:d",
+      f"SELECT *, {_DIV} AS diversity_score FROM (SELECT report, count(*) AS total_flows, sum(bytes) AS total_bytes, sum(packets) AS total_packets "
+      "FROM reported GROUP BY report) AS t JOIN (SELECT report AS of_report, " + ", ".join(f"max(estimate) FILTER (WHERE dimension = '{n}') AS unique_{n}" for n in _DIMS)
+      + " FROM (" + count_sql(registers_sql(f"({_REPORT_DIMS})", "value", A14, "report, dimension"), A14, "report, dimension")
+      + ") AS c GROUP BY report) AS u ON t.report IS NOT DISTINCT FROM of_report")

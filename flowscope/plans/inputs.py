@@ -122,9 +122,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _hex_list(hex_text, n_bytes: int):
-    items = [F.concat(F.lit('"0x'), F.substring(hex_text, 2 * i + 1, 2), F.lit('"')) for i in range(n_bytes)]
-    return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+def _encoded(hex_text, style):
+    """Bytes of a hex text in one of the three encodings: hex strings, numbers, or one hex string with blanks."""
+    each = F.transform(F.sequence(F.lit(1), F.length(hex_text) - 1, F.lit(2)), lambda i: F.substr(hex_text, i, F.lit(2)))
+    texts = F.concat(F.lit('["0x'), F.array_join(each, '","0x'), F.lit('"]'))
+    numbers = F.concat(F.lit("["), F.array_join(F.transform(each, lambda b: F.conv(b, 16, 10)), ","), F.lit("]"))
+    blanks = F.concat(F.lit('"'), F.array_join(each, " "), F.lit('"'))
+    return F.when(style == 0, texts).when(style == 1, numbers).otherwise(blanks)
 
 
 def _le_hex(value, n_bytes: int):
@@ -141,10 +145,14 @@ def _ip_hex(ip):
     return F.concat(*[_be_hex(F.get(parts, F.lit(i)).cast("bigint"), 1) for i in range(4)])
 
 
+DUMP_ENTRIES = 1000
+
+
 def counter_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots as encoded dump text, one dump per agent and poll (a dump is a bounded kernel map).
+    """Snapshots as encoded dump text ``agent_id, poll_id, part, dump``; a part holds about ``DUMP_ENTRIES`` entries.
 
-    A short key is added to every seventh entry and the value of every eleventh is cut (by total bytes).
+    Entries use the three byte encodings in turn.  A short key is added to every seventh entry and the value of every
+    eleventh is cut (by total bytes).
     """
     s = snapshots(spark, sf_dir)
     proto = F.when(F.col("proto") == "UDP", F.lit(17)).otherwise(F.lit(6))
@@ -152,13 +160,17 @@ def counter_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ip_hex(F.col("src_ip")), _ip_hex(F.col("dst_ip")), _le_hex(F.col("src_port"), 2), _le_hex(F.col("dst_port"), 2),
         _be_hex(proto, 1), F.lit("000000"),
     )
-    value = F.concat(_le_hex(F.col("total_bytes"), 8), _le_hex(F.col("total_packets"), 8))
-    value_text = F.when(F.col("total_bytes") % 11 == 0, _hex_list(value, 15)).otherwise(_hex_list(value, 16))
-    entry = F.concat(F.lit('{"key":'), _hex_list(key, 16), F.lit(',"value":'), value_text, F.lit("}"))
+    whole = F.concat(_le_hex(F.col("total_bytes"), 8), _le_hex(F.col("total_packets"), 8))
+    value = F.when(F.col("total_bytes") % 11 == 0, F.substring(whole, 1, 30)).otherwise(whole)
+    coded = s.select("agent_id", "poll_id", "total_bytes", key.alias("key"), value.alias("value"))
+    style = F.col("total_bytes") % 3
+    entry = F.concat(F.lit('{"key":'), _encoded(F.col("key"), style), F.lit(',"value":'), _encoded(F.col("value"), style), F.lit("}"))
     short = F.when(F.col("total_bytes") % 7 == 0, F.lit(',{"key":["0x0a","0x00"],"value":["0x01"]}')).otherwise(F.lit(""))
-    entries = s.select("agent_id", "poll_id", F.concat(entry, short).alias("entry"))
+    parts = s.groupBy("agent_id", "poll_id").agg(F.ceil(F.count("*") / DUMP_ENTRIES).cast("int").alias("parts"))
+    entries = coded.join(parts, ["agent_id", "poll_id"]).select(
+        "agent_id", "poll_id", F.pmod(F.hash("key"), "parts").alias("part"), F.concat(entry, short).alias("entry"))
     listed = F.array_join(F.sort_array(F.collect_list("entry")), ",")
-    return entries.groupBy("agent_id", "poll_id").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("dump"))
+    return entries.groupBy("agent_id", "poll_id", "part").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("dump"))
 
 
 BATCH_EVENTS = 40
