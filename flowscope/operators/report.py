@@ -169,19 +169,18 @@ def _payload_struct(agent, stamp):
     )
 
 
-def push_document(payloads: DataFrame, prefixes: DataFrame, agent="agent_id") -> DataFrame:
-    """Push documents as JSON lines ``part, document``: one per payload, one per heavy prefix."""
+def payload_documents(payloads: DataFrame, agent="agent_id") -> DataFrame:
+    """One push document per payload."""
     delta = F.aggregate(
         "heavy_flows", F.lit(0).cast("bigint"), lambda acc, f: acc + F.coalesce(f["bytes"], F.lit(0))
     )
-    pushed = payloads.select(
-        F.lit("payload").alias("part"),
-        F.to_json(
-            F.struct(
-                F.col(agent).alias("agent_ip"), "agent_cpu", delta.alias("total_bytes_delta"), _cms_struct(), _hll_struct()
-            )
-        ).alias("document"),
-    )
+    whole = F.struct(F.col(agent).alias("agent_ip"), "agent_cpu", delta.alias("total_bytes_delta"), _cms_struct(), _hll_struct())
+    return payloads.select(F.to_json(whole).alias("document"))
+
+
+def push_document(payloads: DataFrame, prefixes: DataFrame, agent="agent_id") -> DataFrame:
+    """Push documents as JSON lines ``part, document``: one per payload, one per heavy prefix."""
+    pushed = payload_documents(payloads, agent).select(F.lit("payload").alias("part"), "document")
     hitters = prefixes.select(
         F.lit("prefix").alias("part"),
         F.to_json(F.struct(F.array(F.struct("prefix", "parent", "bytes")).alias("heavy_hitters"))).alias("document"),

@@ -20,7 +20,7 @@ from flowscope.plans import inputs as I
 from flowscope.session import shared_folder, use_utc
 from flowscope.sources import dump_stream, flow_batches, snapshots, summaries, telemetry
 from flowscope.sources import frames as frame_source
-from flowscope.streaming import anchored, reports, rule_state, sinks
+from flowscope.streaming import anchored, metric_sink, push, reports, rule_state, sinks
 from flowscope.streaming import deltas as stream_deltas_op
 from flowscope.streaming import operators as st
 
@@ -905,3 +905,25 @@ def stream_counter_dumps(spark, d):
         entries = dump_stream.stream_counter_dumps(spark, inbox, per_trigger=40, late="20 days")
         sinks.run_available(entries, folder, "append")
     return sinks.read_all(spark, folder)
+
+
+@query
+def stream_metric_sink(spark, d):
+    """Rates over the steps that the stream has written: all buckets closed by the end."""
+    folder, keys = shared_folder(spark, "metric-steps"), ("metric", "label", "run")
+    usable = I.flows(spark, d).where("dst_ip <> '' AND bytes > 0").withColumn("run", F.col("poll_id") >= I.RESTART_POLL)
+    arrived = _in_time_order(spark, usable, "ts")
+    steps = metric_sink.counter_steps(rollup.counter_rows(arrived, "ts", "run"), LATE, keys)
+    metric_sink.append_steps(steps, folder, keys).awaitTermination()
+    return series.metric_rate(metric_sink.read_counters(spark, folder, epoch=("run",)), 60)
+
+
+@query
+def stream_push(spark, d):
+    """Each payload is pushed as a document of its own."""
+    folder, source = shared_folder(spark, "push"), shared_folder(spark, "pushed-payloads")
+    rows = I.payloads(spark, d)
+    rows.repartition(FILES, "poll_id").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    push.push(report.payload_documents(stream), folder).awaitTermination()
+    return push.read_pushed(spark, folder).select(F.lit("payload").alias("part"), "document")

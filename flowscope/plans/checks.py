@@ -607,3 +607,6 @@ check("stream_reports", "report:l total_flows:l total_bytes:l total_packets:l "
       "FROM reported GROUP BY report) AS t JOIN (SELECT report AS of_report, " + ", ".join(f"max(estimate) FILTER (WHERE dimension = '{n}') AS unique_{n}" for n in _DIMS)
       + " FROM (" + count_sql(registers_sql(f"({_REPORT_DIMS})", "value", A14, "report, dimension"), A14, "report, dimension")
       + ") AS c GROUP BY report) AS u ON t.report IS NOT DISTINCT FROM of_report")
+check("stream_metric_sink", "metric:s label:s ts:t value:l rate:d",
+      f"SELECT * FROM ({_rate(60, 'true')}) AS r WHERE ts <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM flows)")
+CHECKS["stream_push"] = f"SELECT * FROM ({CHECKS['push_document']}) AS p WHERE part = 'payload'"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from flowscope.session import ship_code
 from flowscope.streaming import sinks
 
 KEYS = ("agent_id", "src_ip", "dst_ip", "proto", "src_port", "dst_port")
@@ -81,6 +82,7 @@ def stream_deltas(snapshots: DataFrame, at: str, late: str, keep_ms: int, polls:
     least the time between two polls.  A key that was forgotten or missed a poll starts from zero.  Rows without a poll,
     time or totals are ignored.  Update mode, RocksDB.
     """
+    ship_code(snapshots.sparkSession)
     timed = snapshots.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", late)
     whole = timed.select(*KEYS, "at", F.unix_millis("at").alias("at_ms"),
                          *[F.col(c).cast("bigint").alias(c) for c in ("poll_id", "total_bytes", "total_packets")])

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowscope.operators.policy import MAX_TTL, rule_intervals
 from flowscope.operators.sliced import micros, time_slice
+from flowscope.session import ship_code
 
 STATE = "from_us array<bigint>, seq array<bigint>, until_us array<bigint>, block array<boolean>, own array<boolean>, timer_ms bigint"
 OUTPUT = "ip string, from_us bigint, end_us bigint, reason string"
@@ -102,6 +103,7 @@ def rule_ends(rules: DataFrame, late: str = "10 seconds", max_ttl: int = MAX_TTL
     than ``late`` behind the newest are dropped; within that time the order of arrival does not matter.  A rule replaced
     in its own instant was never in force.  Of events equal in (ip, ts, seq) the last one counts.  Append mode, RocksDB.
     """
+    ship_code(rules.sparkSession)
     own = time_slice("ts", max_ttl)
     placed = rules.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select(
         "ip", "at", micros("ts").alias("from_us"), F.col("seq").cast("bigint").alias("seq"),
