@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.hashing import CmsSpec, check_cms, cms_column
 from flowscope.functions.net import flow_key
+from flowscope.operators.stored import read_version, save_version
 
 METRICS = ("bytes", "packets", "flows")
 
@@ -221,17 +222,17 @@ def ip_statistics(flows: DataFrame, sketch: CountMin, direction: str = "src", ip
 
 
 def save_cms(sketch: CountMin, path: str, sketch_id: str) -> None:
-    """Write a sketch as Parquet under its own ``sketch_id`` folder, with its shape beside the cells."""
+    """Write a sketch as the newest version of ``sketch_id``, with its shape beside the cells."""
     spec = sketch.spec
     shaped = sketch.cells.select(
         "*", F.lit(spec.width).alias("width"), F.lit(spec.depth).alias("depth"), F.lit(spec.family).alias("family")
     )
-    shaped.write.mode("overwrite").parquet(f"{path}/sketch_id={sketch_id}")
+    save_version(shaped, path, sketch_id)
 
 
 def load_cms(spark: SparkSession, path: str, sketch_id: str, spec: CmsSpec) -> CountMin:
     """Read a saved sketch; cells of another shape make the query fail."""
-    stored = spark.read.parquet(f"{path}/sketch_id={sketch_id}")
+    stored = read_version(spark, path, sketch_id)
     same = (F.col("width") == spec.width) & (F.col("depth") == spec.depth) & (F.col("family") == spec.family)
     cnt = F.when(same, F.col("cnt")).otherwise(F.raise_error(F.lit("stored Count-Min sketch has another shape")))
     cells = stored.withColumn("cnt", cnt.cast("bigint")).drop("width", "depth", "family")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscope.functions.hashing import CmsSpec, HllSpec, check_hll, hll_estimate_expr, hll_register, hll_rho, hll_word
 from flowscope.functions.net import flow_key
+from flowscope.operators.stored import read_version, save_version
 
 KEYED = HllSpec(12, "A")
 DIMENSIONS = ("src_ips", "dst_ips", "src_ports", "dst_ports", "flows")
@@ -149,12 +150,12 @@ def save_registers(sketch: Registers, path: str, sketch_id: str) -> None:
     shaped = sketch.table.select(
         "*", F.lit(sketch.spec.precision).alias("precision"), F.lit(sketch.spec.family).alias("family")
     )
-    shaped.write.mode("overwrite").parquet(f"{path}/sketch_id={sketch_id}")
+    save_version(shaped, path, sketch_id)
 
 
 def load_registers(spark: SparkSession, path: str, sketch_id: str, spec: HllSpec, by=()) -> Registers:
     """Read saved registers; another precision or family makes the query fail."""
-    stored = spark.read.parquet(f"{path}/sketch_id={sketch_id}")
+    stored = read_version(spark, path, sketch_id)
     same = (F.col("precision") == spec.precision) & (F.col("family") == spec.family)
     rho = F.when(same, F.col("rho")).otherwise(F.raise_error(F.lit("stored registers have another precision")))
     return Registers(spec, stored.withColumn("rho", rho.cast("int")).drop("precision", "family"), tuple(by))
