@@ -34,7 +34,7 @@ from flowscope.llm.common import materialize, mix, shingle_hashes, ship_code, sh
 from flowscope.llm.components import connected_components
 
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 4096  # what is combined before the shuffle
-REGION_SETS = 256  # sets joined in one task
+REGION_SETS = 1024  # sets joined in one task
 REGION_BYTES = 64 << 20
 PIVOTS = 16
 REPEATED = 3.0  # average copies of a set beyond which windows no longer pay
