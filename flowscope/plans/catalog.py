@@ -20,7 +20,7 @@ from flowscope.plans import inputs as I
 from flowscope.session import shared_folder, use_utc
 from flowscope.sources import dump_stream, flow_batches, snapshots, summaries, telemetry
 from flowscope.sources import frames as frame_source
-from flowscope.streaming import anchored, metric_sink, push, reports, rule_state, sinks
+from flowscope.streaming import anchored, lossy, metric_sink, push, reports, rule_state, sinks
 from flowscope.streaming import deltas as stream_deltas_op
 from flowscope.streaming import operators as st
 
@@ -927,3 +927,20 @@ def stream_push(spark, d):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     push.push(report.payload_documents(stream), folder).awaitTermination()
     return push.read_pushed(spark, folder).select(F.lit("payload").alias("part"), "document")
+
+
+LOSSY_COUNTERS, HEAVY_SHARE = 200, 50
+
+
+@query
+def stream_hhh_bounded(spark, d):
+    """Exact prefixes with a fiftieth of all bytes beside what 200 counters per level know of them."""
+    folder, flows = shared_folder(spark, "lossy"), I.flows(spark, d)
+    sinks.run_available(_in_time_order(spark, flows, "ts"), folder, "append", lossy.lossy_batch(folder, LOSSY_COUNTERS))
+    total = flows.where("bytes > 0").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
+    known = lossy.read_counters(spark, folder).withColumn("bytes", F.struct("low", "high"))
+    known = prefixes.name_prefixes(known).select("prefix", "bytes.low", "bytes.high")
+    exact = prefixes.hhh_prefixes(flows, -(-total // HEAVY_SHARE))
+    small = (F.col("high") - F.col("low")) * (LOSSY_COUNTERS + 1) <= total
+    return exact.join(known, "prefix", "left").select(
+        "prefix", "bytes", F.col("low").isNotNull().alias("found"), F.col("bytes").between(F.col("low"), F.col("high")).alias("bounded"), small.alias("small_error"))

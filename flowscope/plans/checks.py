@@ -610,3 +610,6 @@ check("stream_reports", "report:l total_flows:l total_bytes:l total_packets:l "
 check("stream_metric_sink", "metric:s label:s ts:t value:l rate:d",
       f"SELECT * FROM ({_rate(60, 'true')}) AS r WHERE ts <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM flows)")
 CHECKS["stream_push"] = f"SELECT * FROM ({CHECKS['push_document']}) AS p WHERE part = 'payload'"
+check("stream_hhh_bounded", "prefix:s bytes:l found:b bounded:b small_error:b",
+      "SELECT prefix, bytes, true AS found, true AS bounded, true AS small_error FROM ("
+      + prefix_sql("flows", "(SELECT ceil(sum(bytes) / 50.0) FROM flows WHERE bytes > 0)") + ") AS h")

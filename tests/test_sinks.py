@@ -1,13 +1,14 @@
-"""The push sink and the metric sink under retries and restarts."""
+"""The push sink, the metric sink and bounded prefix counters under retries and restarts."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql import Row
 
 from flowscope.operators import series
 from flowscope.session import shared_folder
-from flowscope.streaming import metric_sink, push, sinks
+from flowscope.streaming import lossy, metric_sink, push, sinks
 
 
 def documents(writer, batch, texts):
@@ -71,3 +72,35 @@ def test_gauge_steps_keep_the_last_value(spark, tmp_path):
     metric_sink.append_steps(metric_sink.gauge_steps(stream, "10 seconds"), folder).awaitTermination()
     got = sorted((r.label, int(r.ts.timestamp()), r.value) for r in metric_sink.read_steps(spark, folder).collect())
     assert got == [("a", 1005, 7.0), ("a", 1010, 2.0), ("b", 1005, 1.0)]
+
+
+def test_prefix_counters_stay_few_and_within_their_error(spark):
+    rnd = random.Random(6)
+    folder, counters, truth, total = shared_folder(spark, "t-lossy"), 40, Counter(), 0
+    apply = lossy.lossy_batch(folder, counters, levels=(16, 32))
+    for epoch in range(5):
+        rows = [(f"10.{rnd.randrange(3)}.0.{int(rnd.paretovariate(0.7)) % 250}", rnd.randrange(1, 1000)) for _ in range(400)]
+        rows += [(f"172.{rnd.randrange(250)}.{rnd.randrange(250)}.{rnd.randrange(250)}", rnd.randrange(1, 200)) for _ in range(1500)]
+        rows += [("nonsense", 10**9), (None, 10**9), ("10.0.0.1", -5), ("10.0.0.1", 0)]
+        for ip, n in rows:
+            if ip and ip != "nonsense" and n > 0:
+                parts = ip.split(".")
+                truth[32, ip] += n
+                truth[16, ".".join(parts[:2] + ["0", "0"])] += n
+                total += n
+        batch = spark.createDataFrame(rows, "dst_ip string, bytes bigint")
+        for _ in range(1 + (epoch == 2)):  # the third is tried twice
+            apply(batch, epoch).write.mode("overwrite").parquet(f"{folder}/data/epoch={epoch}")
+    got = {(r.mask_len, ".".join(str(r.network >> s & 255) for s in (24, 16, 8, 0))): (r.low, r.high) for r in lossy.read_counters(spark, folder).collect()}
+    errors = {}
+    for (k, ip), (low, high) in got.items():
+        assert low <= truth[k, ip] <= high
+        errors[k] = high - low
+    assert all(e * (counters + 1) <= total for e in errors.values()) and errors[32] > 0
+    assert all(sum(k == level for level, _ in got) <= counters for k in (16, 32))
+    for (k, ip), n in truth.items():
+        assert n <= errors[k] or (k, ip) in got
+    heavy = lossy.maybe_heavy(lossy.read_counters(spark, folder), 20_000).count()
+    assert heavy >= sum(n >= 20_000 + errors[k] for (k, _), n in truth.items()) > 3
+    assert len(sinks.epochs(spark, f"{folder}/data")) <= 3
+    assert lossy.merge_counters(spark.createDataFrame([], "mask_len int, network bigint, bytes bigint"), None, 5).count() == 0
