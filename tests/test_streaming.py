@@ -198,6 +198,21 @@ def test_anchored_windows_of_a_stream_take_late_packets_as_they_come(spark, tmp_
     assert len(sinks.epochs(spark, f"{folder}/state")) <= 2
 
 
+def test_repeated_documents_are_dropped_and_their_keys_forgotten(spark, tmp_path):
+    sinks.use_rocksdb(spark)
+    path, folder = str(tmp_path / "docs"), shared_folder(spark, "t-dedup")
+    for k in range(6):
+        stamps = [(f"a{i % 40}", 1000 + 100 * k + i) for i in range(100)]
+        docs = spark.createDataFrame([*stamps, *stamps[90:], *[(a, t - 100) for a, t in stamps[95:] if k]], "agent string, timestamp bigint")
+        docs.withColumn("at", F.timestamp_seconds("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = sinks.run_available(st.new_batches(stream, "at", late="20 seconds"), folder, "append")
+    got = sinks.read_all(spark, folder)
+    assert got.count() == got.distinct().count() == 600
+    kept = [p.stateOperators[0].numRowsTotal for p in run.recentProgress]
+    assert kept[-1] < 60 and max(kept) < 250  # of 600 keys
+
+
 def test_many_epochs_leave_a_bounded_number_of_folders(spark, tmp_path):
     path, folder = str(tmp_path / "many"), shared_folder(spark, "t-many")
     for i in range(25):
