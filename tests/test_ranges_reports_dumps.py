@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,36 @@ def test_ranges_by_group(spark):
         assert abs(r.estimate - want) <= dr.relative_error(dr.LG_K) * want + 1
 
 
+def test_many_intervals_share_what_they_read(spark):
+    """The disk taken does not grow with intervals times their runs or values; keys that come again count as before."""
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(-50, 350), f"v{rnd.randrange(5000)}") for _ in range(20000)]
+    df = spark.createDataFrame(rows, "slot bigint, v string").select("v", F.timestamp_seconds(F.col("slot") * 60).alias("ts"))
+    starts = [(i, rnd.randrange(-60, 350), rnd.choice([1, 63, 64, 65, 130, 300])) for i in range(3000)]
+    asked = [(i, lo, lo + n) for i, lo, n in starts] + [(3000, 4, 4), (3001, 9, 3), (3002, None, 7)]
+    asked += [(1, *asked[1][1:]), (2, None, 5), (3003, -20, 3), (3003, 200, 290), (3004, 0, 70), (3004, 60, 100)]
+    intervals = spark.createDataFrame(asked, "id bigint, lo bigint, hi bigint")
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    used = lambda: sum(f.stat().st_size for top in folders for f in Path(str(top)).rglob("*") if f.is_file())
+    before = used()
+    exact = [(r.id, r.exact) for r in dr.exact_in(df, "v", intervals, seconds=60, levels=6).collect()]
+    got = {r.id: r for r in dr.distinct_in(dr.build_ranges(df, "v", seconds=60, levels=6), intervals).collect()}
+    assert used() - before < 24e6
+    values, want, runs = {}, {}, {}
+    for slot, v in rows:
+        values.setdefault(slot, set()).add(v)
+    for i, lo, hi in asked:
+        want.setdefault(i, set()).update(*(values.get(s, ()) for s in range(lo, hi)) if lo is not None else ())
+    assert sorted(exact) == sorted((i, len(want[i])) for i, _, _ in asked)
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert abs(r.estimate - len(want[i])) <= dr.relative_error(dr.LG_K, 5) * len(want[i]) + 1
+    covers = intervals.where("lo < hi").select("id", F.size(dr.runs_of(F.col("lo"), F.col("hi"), 6)).alias("n"))
+    for r in covers.collect():
+        runs[r.id] = max(runs.get(r.id, 0), r.n)
+    assert {i: r.runs for i, r in got.items()} == {i: runs.get(i, 0) for i in got}
+
+
 def test_last_report_equals_the_batch_query_and_a_retry_changes_nothing(spark):
     folder = shared_folder(spark, "t-reports")
     flows = I.flows(spark, SF)
